@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from doclathe.llm import simhash
+from doclathe.llm import mixing, sharding, simhash
 
 QUERIES = {
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op4_stratified_sharding": sharding.op4_stratified_sharding,
+    "op5_pfair_mixing": mixing.op5_pfair_mixing,
 }
 SQL: dict[str, str] = {}
