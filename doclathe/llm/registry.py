@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from doclathe.llm import langid, licenses, maxscore, mixing, pii, sharding, simhash, toxicity
+from doclathe.llm import langid, licenses, maxscore, mixing, pii, sharding, simhash, substring, toxicity
 
 QUERIES = {
+    "op1_substring_dedup": substring.op1_substring_dedup,
     "op2_ppm_language_id": langid.op2_ppm_language_id,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
     "op4_stratified_sharding": sharding.op4_stratified_sharding,

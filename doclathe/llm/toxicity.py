@@ -42,6 +42,8 @@ LEAST_RATIO = 8.0
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Emissions cached by word in each worker.
 CACHE = 200_000
+#: Marginals below this don't count towards a document's sum: a long clean text has very many of them.
+NOISE = 0.1
 _TOKEN = re.compile(r"\w+")
 
 
@@ -166,7 +168,7 @@ def _spans(text: str) -> list[tuple[int, int]]:
 
 
 def document_features(p: np.ndarray) -> np.ndarray:
-    total = float(p.sum())
+    total = float(p[p >= NOISE].sum())
     return np.array([1.0, np.log1p(total), np.log((total + 0.05) / (len(p) + 10)), float(p.max(initial=0.0))])
 
 
