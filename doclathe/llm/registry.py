@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from doclathe.llm import langid, licenses, maxscore, mixing, pii, sharding, simhash, substring, toxicity
+from doclathe.llm import contamination, langid, licenses, maxscore, mixing, pii, sharding, simhash, substring, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -13,8 +13,10 @@ QUERIES = {
     "op6_maxscore_top_k": maxscore.op6_maxscore_top_k,
     "op7_license_notices": licenses.op7_license_notices,
     "op8_crf_toxicity": toxicity.op8_crf_toxicity,
+    "op9_minhash_containment": contamination.op9_minhash_containment,
     "op10_pii_spans": pii.op10_pii_spans,
 }
 SQL: dict[str, str] = {
     "op6_maxscore_top_k": maxscore.SQL,
+    "op9_minhash_containment": contamination.SQL,
 }
