@@ -162,6 +162,10 @@ def _tokens(text: Column, mode: str) -> Column:
     return stemmed(text)
 
 
+def _one_of(words: list[str]):
+    return lambda x: x.isin(*words)
+
+
 def search(scope: Scope, spec) -> tuple[Column, Column]:
     """Whether a document matches, and its score."""
     wanted = spec["$search"] if isinstance(spec, dict) else spec
@@ -171,23 +175,22 @@ def search(scope: Scope, spec) -> tuple[Column, Column]:
         return F.lit(False), F.lit(0.0)
     tokens = _tokens(document_text(scope), mode)
 
-    def occurrences(term: str) -> Column:
-        return F.size(F.filter(tokens, lambda x: x == term))
-
-    def stands(phrase: list[str]) -> Column:
-        last, want = F.size(tokens) - len(phrase), F.array(*(F.lit(x) for x in phrase))
-        places = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
-        return F.when(last >= 0, F.exists(places, lambda i: F.slice(tokens, i + 1, len(phrase)) == want)).otherwise(False)
+    def hits_of(words: list[str]) -> Column:
+        """How many different words of the list the document has."""
+        return F.size(F.array_intersect(F.array(*map(F.lit, words)), tokens))
 
-    count = {t: occurrences(t) for t in dict.fromkeys([*terms, *negations])}
     total, hits = F.lit(0), F.lit(0)
-    for t in terms:
-        total, hits = total + count[t], hits + F.when(count[t] > 0, 1).otherwise(0)
+    for times in sorted({terms.count(t) for t in terms}):  # a term given twice counts twice
+        words = [t for t in dict.fromkeys(terms) if terms.count(t) == times]
+        total = total + F.size(F.filter(tokens, _one_of(words))) * times
+        hits = hits + hits_of(words) * times
     ok = F.lit(True)
-    for t in negations:
-        ok = ok & (count[t] == 0)
-    for p in phrases:
-        ok = ok & stands(p)
+    if negations:
+        ok = ok & (hits_of(list(dict.fromkeys(negations))) == 0)
+    if phrases:
+        line = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+        for p in phrases:
+            ok = ok & F.contains(line, F.lit(f" {' '.join(p)} "))
     if terms and not phrases:
         ok = ok & (hits > 0)
     if mode == "exact":

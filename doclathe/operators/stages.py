@@ -401,14 +401,13 @@ def _lookup(s: State, operand) -> State:
         df = s.df.withColumn("_lk", values.coerce(local, to))
         joined = df.join(grouped, df["_lk"].eqNullSafe(grouped["_fk"]), "left")
         return s.to(joined.select(*to_columns(put(F.col("_found"))), *hidden(s.df, (ORD, SCORE))))
-    # A row number for each document, its different keys, their foreign rows, and back by the number.
-    df = s.df.withColumn("_row", F.monotonically_increasing_id()) if ORD not in s.df.columns else s.df.withColumn("_row", F.col(ORD))
-    keys = values.coerce(local, T.ArrayType(to))
+    # Each different array of keys once: its keys, their foreign rows, and back to all documents that hold it.
+    # (By the array's value: row numbers would not be the same in both branches of the plan.)
     # A missing array is one missing key.
-    wanted = F.when(local.col.isNull(), F.array(F.lit(None).cast(to))).otherwise(F.array_distinct(keys))
-    pairs = df.select("_row", F.explode(wanted).alias("_lk"))
-    hits = pairs.join(docs, pairs["_lk"].eqNullSafe(docs["_fk"])).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_fo", "_doc"))).alias("_rows"))
-    joined = df.join(hits, "_row", "left")
+    df = s.df.withColumn("_lk", F.when(local.col.isNull(), F.array(F.lit(None).cast(to))).otherwise(F.array_distinct(values.coerce(local, T.ArrayType(to)))))
+    pairs = df.select("_lk").distinct().select("_lk", F.explode("_lk").alias("_key"))
+    hits = pairs.join(docs, pairs["_key"].eqNullSafe(docs["_fk"])).groupBy("_lk").agg(F.array_sort(F.collect_list(F.struct("_fo", "_doc"))).alias("_rows"))
+    joined = df.join(hits, "_lk", "left")
     return s.to(joined.select(*to_columns(put(F.transform(F.col("_rows"), lambda r: r["_doc"]))), *hidden(s.df, (ORD, SCORE))))
 
 
