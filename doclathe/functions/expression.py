@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from doclathe.context import SpecError
 from doclathe.functions import values
 from doclathe.functions.paths import Scope
-from doclathe.functions.values import Val, common_type, coerce, compare, equal, literal, missing, sure, truthy
+from doclathe.functions.values import Val, common_type, coerce, compare, equal, literal, missing, shared_type, sure, truthy
 
 DOUBLE, LONG, STRING, BOOL = T.DoubleType(), T.LongType(), T.StringType(), T.BooleanType()
 OPERATORS: dict[str, Callable[[object, Scope], Val]] = {}
@@ -59,9 +59,7 @@ def compile_expression(spec, scope: Scope) -> Val:
 
 
 def array_of(items: list[Val]) -> Val:
-    of: T.DataType = T.NullType()
-    for i in items:
-        of = common_type(of, i.dtype)
+    of = shared_type(i.dtype for i in items)
     return Val(F.array(*(coerce(i, of) for i in items)), T.ArrayType(of))
 
 
@@ -244,9 +242,7 @@ def _cmp(a: Val, b: Val) -> Val:
 
 
 def choose(cases: list[tuple[Column, Val]], other: Val) -> Val:
-    to = other.dtype
-    for _, v in cases:
-        to = common_type(to, v.dtype)
+    to = shared_type([other.dtype, *(v.dtype for _, v in cases)])
     out = None
     for c, v in cases:
         out = F.when(c, coerce(v, to)) if out is None else out.when(c, coerce(v, to))
@@ -262,9 +258,7 @@ def _cond(spec, scope: Scope) -> Val:
 
 @operator("$ifNull")
 def _if_null(*a: Val) -> Val:
-    to: T.DataType = T.NullType()
-    for v in a:
-        to = common_type(to, v.dtype)
+    to = shared_type(v.dtype for v in a)
     return Val(F.coalesce(*(coerce(v, to) for v in a)), to)
 
 
@@ -365,12 +359,7 @@ def _merge(*a: Val) -> Val:
 
 
 def _if_null_of(vs: list[Val]) -> Val:
-    try:
-        to: T.DataType = T.NullType()
-        for v in vs:
-            to = common_type(to, v.dtype)
-    except SpecError:
-        return vs[0]
+    to = shared_type(v.dtype for v in vs)
     return Val(F.coalesce(*(coerce(v, to) for v in vs)), to)
 
 

@@ -88,6 +88,17 @@ def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
     raise SpecError(f"no common type of {a.simpleString()} and {b.simpleString()}")
 
 
+def shared_type(types) -> T.DataType:
+    """A type that holds all; text where there is none better."""
+    out: T.DataType = NULL
+    for t in types:
+        try:
+            out = common_type(out, t)
+        except SpecError:
+            return T.StringType()
+    return out
+
+
 def coerce(v: Val, to: T.DataType) -> Column:
     """The value as type ``to``, which must come from common_type."""
     if v.dtype == to:
@@ -100,6 +111,8 @@ def coerce(v: Val, to: T.DataType) -> Column:
     if isinstance(v.dtype, T.StructType) and isinstance(to, T.StructType):
         parts = [coerce(field(v, n), to[n].dataType).alias(n) for n in to.names]
         return F.when(v.col.isNotNull(), F.struct(*parts)).otherwise(F.lit(None).cast(to))
+    if isinstance(to, T.StringType):
+        return text_of(v)
     return v.col.cast(to)
 
 
