@@ -216,7 +216,7 @@ class BulkFind:
 
 
 class Db:
-    def __init__(self, client: MongoLikeClient, name: str):
+    def __init__(self, client: DocumentClient, name: str):
         self.client, self.name = client, name
 
     def collection(self, name: str) -> ClientCollection:
@@ -268,7 +268,7 @@ class Db:
 
 
 class Admin:
-    def __init__(self, client: MongoLikeClient):
+    def __init__(self, client: DocumentClient):
         self._client = client
 
     def ping(self) -> dict:
@@ -296,14 +296,14 @@ class Session:
     def end_session(self) -> None: ...
 
 
-class MongoLikeClient:
+class DocumentClient:
     def __init__(self, url: str = "local:///", **options):
         self.url, self.options = url, options
         path = url.split("//", 1)[-1]
         self.default = (path.split("/", 1)[1].split("?")[0] if "/" in path else "") or "test"
         self.connected = False
 
-    def connect(self) -> MongoLikeClient:
+    def connect(self) -> DocumentClient:
         self.connected = True
         return self
 

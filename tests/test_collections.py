@@ -5,7 +5,7 @@ import pytest
 
 import doclathe as dl
 from doclathe import Collection, ObjectId, SpecError
-from doclathe.client import MongoLikeClient
+from doclathe.client import DocumentClient
 from doclathe.sources import catalog
 
 DOCS = [{"_id": i, "g": "ab"[i % 2], "n": i, "t": [i, i + 1], "d": [{"k": "x", "v": i}, {"k": "y", "v": 9}], "o": {"p": i}} for i in range(6)]
@@ -175,7 +175,7 @@ def test_shell(spark, tmp_path):
 
 def test_client(spark):
     catalog.reset()
-    db = MongoLikeClient("local://host/shop").connect().db()
+    db = DocumentClient("local://host/shop").connect().db()
     c = db.collection("items")
     r = c.insert_many([{"n": 3}, {"n": 1}, {"n": 2}])
     assert r["insertedCount"] == 3 and ObjectId.is_valid(r["insertedIds"][0])
