@@ -21,21 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@functools.cache
-def _shipped(app_id: str) -> str:
-    spark = SparkSession.getActiveSession()
-    folder = tempfile.mkdtemp(prefix="doclathe-")
-    target = os.path.join(folder, "doclathe_pkg.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(PACKAGE.rglob("*.py")):
-            z.write(p, str(p.relative_to(PACKAGE.parent)))
-    spark.sparkContext.addPyFile(target)
-    return target
+_shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once an application."""
-    _shipped(spark.sparkContext.applicationId)
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="doclathe-"), "doclathe_pkg.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(PACKAGE.rglob("*.py")):
+            z.write(p, str(p.relative_to(PACKAGE.parent)))
+    spark.sparkContext.addPyFile(target)  # the driver serves it to all executors
+    _shipped.add(app)
 
 
 def shared_dir(spark: SparkSession) -> str:
