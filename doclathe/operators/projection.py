@@ -36,7 +36,7 @@ def check(spec: dict) -> bool | None:
         flag = _flag(v)
         if flag is None:
             raise SpecError(f"a projection is 0, 1, true or false, not {v!r}")
-        if k != "_id":
+        if k != "_id" or not settings().id_projection:
             modes.add(flag)
     if len(modes) > 1:
         raise SpecError("a projection can't mix inclusion and exclusion")

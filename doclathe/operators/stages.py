@@ -333,8 +333,8 @@ def _sort(s: State, operand) -> State:
     return s.to(df.withColumn(ORD, F.monotonically_increasing_id()) if s.ordered_later else df)
 
 
-#: Names that a point's field may have, in the order in which they are tried.
-LOCATIONS = ("loc", "location", "coordinates", "geo", "position", "point")
+# Names that a point's field may have, in the order in which they are tried.
+LOCATIONS = ("location", "loc", "geometry", "coordinates", "pos", "position")
 
 
 @stage("$geoNear")

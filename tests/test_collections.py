@@ -36,6 +36,18 @@ def test_reads(c):
             c.find({}, bad).to_list()
 
 
+def test_id_setting(c):
+    dl.configure(id_projection=False)
+    try:
+        assert c.find({"n": 1}, {"g": 1}).to_list() == [{"g": "b"}] and c.find({"n": 1}, {"_id": 1}).to_list() == [{"_id": 1}]
+        with pytest.raises(SpecError):
+            c.find({}, {"_id": 0, "g": 1}).to_list()
+    finally:
+        dl.reset()
+    with pytest.raises(SpecError):
+        dl.configure(nonsense=1)
+
+
 def test_cursor_pages_equal_lists(spark):
     rows = [{"_id": i, "a": (i * 7) % 8, "b": (i * 5) % 4} for i in range(30)]
     c = Collection(rows, spark)
