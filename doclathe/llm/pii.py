@@ -30,7 +30,8 @@ from doclathe.llm.common import ship, table
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+#: Takes each run of digits whole, with three more runs if they follow: one pass, however long the runs.
+_IP = re.compile(r"[0-9]++((?:\.[0-9]++){3})?")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
@@ -64,7 +65,7 @@ def luhn(digits: str) -> bool:
 
 def ips(text: str) -> list[tuple[int, int]]:
     small = lambda p: len(p := p.lstrip("0")) <= 3 and int(p or 0) <= 255
-    return [m.span() for m in _IP.finditer(text) if all(map(small, m[0].split(".")))]
+    return [m.span() for m in _IP.finditer(text) if m[1] and all(map(small, m[0].split(".")))]
 
 
 def cards(text: str) -> list[tuple[int, int]]:
@@ -105,7 +106,21 @@ _BRACKETS = re.compile(rf"(?i)(?P<at>{_BRACKET_AT})|(?P<dot>{_BRACKET_DOT})")
 _BRACKET_TRIGGER = re.compile(r"(?i)[\[({<]\s*(?:at|@|arroba|arobase|dot|\.|punto|point|punkt)\s*[\])}>]")
 #: name at host dot tld: both words must be there.
 _WORDY = re.compile(r"(?i)(?<![\w.+%-])[a-z0-9._%+-]+(?: dot [a-z0-9_%+-]+)*(?P<at>\s+at\s+|@)[a-z0-9-]+(?:\.[a-z0-9-]+)*(?P<dots>(?: +dot +[a-z0-9-]+)+)")
-_WORDY_TRIGGER = re.compile(r"(?i) dot ")
+_OPENING = re.compile(r"[\[({<]")
+
+
+def _spelled_pair(low: str) -> bool:
+    """Whether two spelled digits stand side by side; a run of four has two with separators around both."""
+    words = low.replace(".", " ").replace(",", " ").replace("-", " ").split()
+    if SPELLED.keys().isdisjoint(words):
+        return False
+    before = False
+    for w in words:
+        now = w in SPELLED
+        if now and before:
+            return True
+        before = now
+    return False
 
 
 class Mapped:
@@ -174,15 +189,16 @@ def disguised(text: str) -> Mapped | None:
     m = Mapped(text)
     if not text.isascii() and _ODD.search(text):
         m = m.rewrite([(x.start(), x.end(), _plain(x[0])) for x in _ODD.finditer(text)])
-    if _BRACKET_TRIGGER.search(m.text):
+    if _OPENING.search(m.text) and _BRACKET_TRIGGER.search(m.text):
         m = m.rewrite([(x.start(), x.end(), "@" if x.lastgroup == "at" else ".") for x in _BRACKETS.finditer(m.text)])
-    if _WORDY_TRIGGER.search(m.text):
+    low = m.text.lower()
+    if " dot " in low:
         edits = []
         for x in _WORDY.finditer(m.text):
             for w in re.finditer(r"(?i)\s+at\s+|\s+dot\s+", x[0]):
                 edits.append((x.start() + w.start(), x.start() + w.end(), "@" if "a" in w[0].lower() else "."))
         m = m.rewrite(edits)
-    if _SPELLED_TRIGGER.search(m.text):
+    if _spelled_pair(low) and _SPELLED_TRIGGER.search(m.text):
         edits = []
         for x in _SPELLED_RUN.finditer(m.text):
             words = [*_SPELLED_WORD.finditer(x[0])]
