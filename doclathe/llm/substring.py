@@ -31,7 +31,6 @@ LINE_WORDS = 40
 REACH = 6
 LEAST_WORDS = 7
 _LINE = re.compile(r"[^\n\r]+")
-_WORD = re.compile(r"\S+")
 CACHE = 300_000
 _hashes: dict[str, int] = {}
 
@@ -40,12 +39,12 @@ def _word_hashes(words: list[str]) -> np.ndarray:
     known = _hashes
     if len(known) > CACHE:
         known.clear()
-    out = np.empty(len(words), np.uint32)
-    for i, h in enumerate(map(known.get, words)):
-        if h is None:
-            h = known[words[i]] = xxhash.xxh32_intdigest(words[i].encode("utf-8", "surrogatepass"), 7)
-        out[i] = h
-    return out
+    found = list(map(known.get, words))
+    if None in found:
+        for i, h in enumerate(found):
+            if h is None:
+                found[i] = known[words[i]] = xxhash.xxh32_intdigest(words[i].encode("utf-8", "surrogatepass"), 7)
+    return np.array(found, np.uint32)
 
 
 def cuts(words: list[str]) -> list[int]:
@@ -55,12 +54,26 @@ def cuts(words: list[str]) -> list[int]:
         return []
     h = _word_hashes(words).astype(np.uint64)
     pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)
-    windows = np.lib.stride_tricks.sliding_window_view(pair, 2 * REACH + 1)
-    middle = windows[:, REACH]
-    least = (windows >= middle[:, None]).all(axis=1) & ((windows == middle[:, None]).sum(axis=1) == 1)
+    n = len(pair)
+    middle = pair[REACH : n - REACH]
+    least = np.ones(len(middle), bool)
+    for d in range(1, REACH + 1):
+        least &= (middle < pair[REACH - d : n - REACH - d]) & (middle < pair[REACH + d : n - REACH + d])
     return (np.flatnonzero(least) + REACH + 1).tolist()
 
 
+_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
+
+
+def word_spans(line: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words that split() gives."""
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = np.ones(len(codes) + 2, bool)
+    space[1:-1] = _SPACE[np.minimum(codes, 0x3001)]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    return edges[::2], edges[1::2]
+
+
 def units(text: str | None) -> list[tuple[int, int, int, int, int]]:
     """(start, end, words, high and low half of the digest as signed longs) of each unit."""
     out = []
@@ -78,8 +91,9 @@ def units(text: str | None) -> list[tuple[int, int, int, int, int]]:
                     lead = len(body) - len(body.lstrip())
                     a, b = lead, len(body.rstrip())
                 else:
-                    spans = spans or [m.span() for m in _WORD.finditer(body)]
-                    a, b = spans[first][0], spans[end - 1][1]
+                    if spans is None:
+                        spans = word_spans(body)
+                    a, b = int(spans[0][first]), int(spans[1][end - 1])
                 d = xxhash.xxh3_128_intdigest(" ".join(words[first:end]).encode("utf-8", "surrogatepass"))
                 high, low = d >> 64, d & (1 << 64) - 1
                 out.append((line.start() + a, line.start() + b, end - first, high - (high >> 63 << 64), low - (low >> 63 << 64)))

@@ -51,6 +51,11 @@ def test_whole_table_against_plain_python(spark):
             assert text[r.doc_id][substring.source_offset([tuple(x) for x in r.removed], i)] == want[i]
 
 
+def test_word_spans():
+    for line in ("", " ", "a", " a\u00a0bc\u3000d \x1c e\u2003", "é 漢字 😀x"):
+        assert list(zip(*substring.word_spans(line))) == [m.span() for m in re.finditer(r"\S+", line)]
+
+
 def test_passages_inside_long_lines_are_found():
     rng = random.Random(7)
     words = [f"w{i}" for i in range(5000)]
