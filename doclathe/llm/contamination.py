@@ -15,7 +15,7 @@ the sketches' hashes; hits are the candidates.
 Verification.  Candidate documents are shingled again and their shingles, as strings, are compared with
 all of the candidate item's: the containment is exact.
 
-The sketch table is broadcast only after a check that it has at most ``BROADCAST_ROWS`` rows; beyond
+The sketches, and the items' shingles, are broadcast only after a check that they have at most ``BROADCAST_ROWS`` rows; beyond
 that the lookup is a shuffled join.  Items with one text are searched once.
 
 Defined cases: null or wordless texts have no shingles and neither contain nor are contained; fewer than
@@ -39,15 +39,16 @@ GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _words(df: DataFrame, id_: str, keep: str) -> DataFrame:
-    text = F.regexp_replace(F.lower(F.col("text").cast("string")), GAP, " ")
-    words = F.split(F.trim(text), " ")
-    rows = df.select(F.col(id_).cast("long").alias(keep), words.alias("w")).filter(F.col(keep).isNotNull() & F.col("w").isNotNull())
-    return rows.filter("size(w) > 1 or w[0] <> ''")
+    """The words of each text.  Splitting leaves an empty word where a gap is first or last.  There is no
+    filter on the words: Spark would push it below and split every text again for it."""
+    words = F.array_remove(F.split(F.lower(F.col("text").cast("string")), GAP), "")
+    return df.filter(F.col(id_).isNotNull() & F.col("text").isNotNull()).select(F.col(id_).cast("long").alias(keep), words.alias("w"))
 
 
 def _positions(rows: DataFrame, *keep: str) -> DataFrame:
-    """A row for each shingle: its first word's position p, with the words at hand."""
-    return rows.select(*keep, "w", F.posexplode("w").alias("p", "_first")).filter(f"p = 0 or p + {WORDS} <= size(w)").drop("_first")
+    """A row for each shingle: its first word's position p, with the words at hand.  Of the inner form of the
+    generator Spark would infer a filter on the words; the outer form's row without a position goes here."""
+    return rows.select(*keep, "w", F.posexplode_outer("w").alias("p", "_first")).filter(f"p = 0 or p + {WORDS} <= size(w)").drop("_first")
 
 
 _PARTS = [f"get(w, p + {i})" for i in range(WORDS)]
@@ -75,6 +76,11 @@ def sketches(items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     return sized.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= size).select("item", "h", "n_item")
 
 
+def _lookup(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows joined with keys on h; keys are broadcast if a check finds them few enough, else shuffled."""
+    return rows.join(F.broadcast(keys) if small(keys, BROADCAST_ROWS) else keys, "h")
+
+
 def contained(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment: the test items that each document contains."""
     same = F.min("item_id").over(Window.partitionBy("text"))
@@ -82,18 +88,16 @@ def contained(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAI
     once = tests.withColumn("item", same)
     items = scratch(shingles(once.select("item", "text").distinct(), "item", "item"))
     sketch = scratch(sketches(items, containment))
-    probe = sketch.select("item", "h")
-    if small(probe, BROADCAST_ROWS):
-        probe = F.broadcast(probe)
-    words = _words(docs, "doc_id", "doc")
-    hits = _positions(words, "doc").select("doc", F.expr(_HASH).alias("h")).join(probe, "h")
+    hits = _lookup(_positions(_words(docs, "doc_id", "doc"), "doc").select("doc", F.expr(_HASH).alias("h")), sketch.select("item", "h"))
     candidates = scratch(hits.select("doc", "item").distinct())
-    # The second pass reads the texts of candidate documents only.
+    # The second pass shingles the texts of candidate documents only, and keeps what any item has.
     chosen = candidates.select(F.col("doc").alias("_doc")).distinct()
     again = docs.join(chosen, F.col("doc_id").cast("long") == F.col("_doc"), "left_semi")
-    have = shingles(again, "doc_id", "doc")
+    # The text is taken before the lookup, as rows that are shuffled must not carry all words of a document.
+    near = _positions(_words(again, "doc_id", "doc"), "doc").select("doc", F.expr(_HASH).alias("h"), F.expr(_TEXT).alias("_text"))
+    have = _lookup(near, items).filter(F.col("_text") == F.col("shingle")).select("doc", "item", "shingle").distinct()
     sizes = sketch.select("item", "n_item").distinct()
-    shared = have.join(items, ["h", "shingle"]).join(candidates, ["doc", "item"]).groupBy("doc", "item").agg(F.count(F.lit(1)).alias("n_shared"))
+    shared = have.join(candidates, ["doc", "item"]).groupBy("doc", "item").agg(F.count(F.lit(1)).alias("n_shared"))
     found = shared.join(sizes, "item").filter(F.col("n_shared") >= F.col("n_item") * containment - 1e-9)
     named = found.join(once.select("item", "item_id").distinct(), "item")
     return named.select(F.col("doc").alias("doc_id"), "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment")).distinct()
