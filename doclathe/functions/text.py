@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +14,7 @@ from doclathe.context import settings
 from doclathe.functions import values
 from doclathe.functions.paths import Scope
 from doclathe.functions.values import Val
+from doclathe.sources.shipping import ship
 
 # Words that the stemming modes leave out.
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
@@ -143,6 +145,8 @@ def document_text(scope: Scope) -> Column:
 def _tokens(text: Column, mode: str) -> Column:
     if mode == "lightweight":
         return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: x != "")
+    if (spark := SparkSession.getActiveSession()) is not None:
+        ship(spark)
 
     @F.pandas_udf("array<string>")
     def stemmed(s):
@@ -193,6 +197,15 @@ def search(scope: Scope, spec) -> tuple[Column, Column]:
             ok = ok & F.contains(line, F.lit(f" {' '.join(p)} "))
     if terms and not phrases:
         ok = ok & (hits > 0)
+    if mode == "lightweight":
+        # Whatever holds a token holds its letters: most documents go before they are split.
+        low = F.lower(document_text(scope))
+        if phrases:
+            first = [F.contains(low, F.lit(w)) for w in dict.fromkeys(w for p in phrases for w in p)]
+            ok = reduce(lambda a, b: a & b, first) & ok
+        else:
+            first = [F.contains(low, F.lit(w)) for w in dict.fromkeys(terms)]
+            ok = reduce(lambda a, b: a | b, first) & ok
     if mode == "exact":
         n = F.size(tokens)
         base = F.when((total > 0) & (n > 0), (F.try_divide(0.5 * total, n.cast("double")) + 0.5) * hits).otherwise(0.0)
