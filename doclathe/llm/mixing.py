@@ -5,11 +5,14 @@ weight w releases its block j at slot floor(j / w), to be placed before slot cei
 slot takes the released block whose deadline comes first.  With weights that sum to one every
 deadline is met, so at any slot each source has had less than one block more or less than its share.
 
-Weights are rounded to whole slots of a period of ``period`` slots, after which the schedule repeats
-itself: only one period is simulated, whatever the size of the data.  When a source has run out, the
-others' weights are scaled to sum to one and a new phase begins, so all rows are placed, each once.
-The driver holds one period for each phase (there are at most as many phases as sources) and a row
-count for each source; sources are taken to be few enough for that.
+Weights are taken as they are: releases and deadlines are computed in whole numbers from the exact
+values, and a phase is scheduled block by block, so the bound holds at any length.  When a source has
+run out, the others' weights are scaled to sum to one and a new phase begins, so all rows are placed,
+each once.  The driver takes one step and holds one small number for each block, beside a row count for
+each source; sources are taken to be few enough for that.
+
+A caller may give ``period`` instead: weights are then rounded to whole slots of a period, one slot each
+at least, and only one period is simulated.  The bound then holds for the rounded weights.
 
 Default target weights are each source's row count to the power ``TEMPER``.  A source without a
 positive weight comes after all that have one, by the same rule with equal weights.
@@ -21,7 +24,9 @@ no rows; further columns are not read."""
 from __future__ import annotations
 
 import heapq
+import math
 from bisect import bisect_left
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,6 @@ from doclathe.llm.common import scratch, ship, table
 from doclathe.llm.ranking import rank_rows
 
 BLOCK_ROWS = 16
-PERIOD = 1000
 TEMPER = 0.5
 SEED = 20240608
 
@@ -79,14 +83,49 @@ def edf_period(k: dict[str, int]) -> dict[str, list[int]]:
     return slots
 
 
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * scale) for s, x in exact.items()}
+
+
+def edf_phase(w: dict[str, int], left: dict[str, int]) -> dict[str, list[int]]:
+    """The slots of each source, earliest deadline first, until one has placed all its blocks."""
+    names = sorted(w)
+    whole = sum(w.values())
+    share, blocks = [w[s] for s in names], [left[s] for s in names]
+    slots: list[list[int]] = [[] for _ in names]
+    waiting = [(0, i) for i in range(len(names))]
+    ready: list[tuple[int, int, int]] = []
+    push, pop = heapq.heappush, heapq.heappop
+    t = 0
+    while True:
+        while waiting and waiting[0][0] <= t:
+            _, i = pop(waiting)
+            push(ready, (-(-(len(slots[i]) + 1) * whole // share[i]), -share[i], i))
+        if not ready:
+            raise AssertionError("weights below one")
+        d, _, i = pop(ready)
+        if d <= t:
+            raise AssertionError("missed deadline")
+        slots[i].append(t)
+        j = len(slots[i])
+        if j == blocks[i]:
+            return dict(zip(names, slots))
+        push(waiting, (j * whole // share[i], i))
+        t += 1
+
+
 class Schedule:
-    """Closed form of the whole order.  rows: rows of each source; weights: of those with any."""
+    """The whole order.  rows: rows of each source; weights: of those with any; period: see above."""
 
-    def __init__(self, rows: dict[str, int], weights: dict[str, float], block_rows: int = BLOCK_ROWS, period: int = PERIOD):
+    def __init__(self, rows: dict[str, int], weights: dict[str, float], block_rows: int = BLOCK_ROWS, period: int | None = None):
         self.block_rows = block_rows
         left = {s: -(-n // block_rows) for s, n in rows.items() if n > 0}
         total = dict(left)
-        #: by source: first blocks of its phases, and (phase, first slot, slots in a period, period, slots) of each.
+        #: by source: first blocks of its phases, and (phase, first slot, weight, all weights, slots in a period,
+        #: period, how long after its release each of them comes) of each.  A phase without a period is one itself.
         self.first: dict[str, list[int]] = {s: [] for s in left}
         self.runs: dict[str, list[tuple]] = {s: [] for s in left}
         start = phase = 0
@@ -94,20 +133,28 @@ class Schedule:
         while left:
             weighted = {s: weights[s] for s in left if weights.get(s, 0) > 0}
             active = weighted or dict.fromkeys(left, 1.0)
-            k = whole_slots(active, max(period, 8 * len(active)))
-            size = sum(k.values())
-            slots = edf_period(k)
-            span = min((left[s] - 1) // k[s] * size + slots[s][(left[s] - 1) % k[s]] + 1 for s in active)
+            if period is None:
+                w = whole_weights(active)
+                slots = edf_phase(w, left)
+                size = sum(map(len, slots.values()))
+            else:
+                w = whole_slots(active, max(period, 8 * len(active)))
+                slots = edf_period(w)
+                size = sum(w.values())
+            whole, each = sum(w.values()), {s: len(slots[s]) for s in active}
+            last = {s: (left[s] - 1) // each[s] * size + slots[s][(left[s] - 1) % each[s]] for s in active if period is not None or each[s] == left[s]}
+            span = min(last.values()) + 1
             for s in active:
-                self.first[s].append(total[s] - left[s])
-                self.runs[s].append((phase, start, k[s], size, np.array(slots[s])))
-                done = span // size * k[s] + bisect_left(slots[s], span % size)
+                if each[s]:
+                    late = np.array([x - j * whole // w[s] for j, x in enumerate(slots[s])])
+                    self.first[s].append(total[s] - left[s])
+                    self.runs[s].append((phase, start, w[s], whole, each[s], size, late.astype(np.min_scalar_type(late.max()))))
+                done = span // size * each[s] + bisect_left(slots[s], span % size)
                 left[s] -= done
                 if not left[s]:
                     del left[s]
-                    last = start + (total[s] - 1 - self.first[s][-1]) // k[s] * size + slots[s][(total[s] - 1 - self.first[s][-1]) % k[s]]
                     if short := total[s] * block_rows - rows[s]:
-                        ends.append((last, short))
+                        ends.append((start + last[s], short))
             start += span
             phase += 1
         ends.sort()
@@ -120,13 +167,15 @@ class Schedule:
         first = np.array(self.first[source])
         which = np.searchsorted(first, block, side="right") - 1
         out = {n: np.zeros(len(rank), np.int64) for n in ("phase", "slot", "release", "deadline")}
-        for i, (phase, start, k, size, slots) in enumerate(self.runs[source]):
+        for i, (phase, start, w, whole, each, size, late) in enumerate(self.runs[source]):
             at = np.flatnonzero(which == i)
-            j = block[at] - first[i]
+            js, back = np.unique(block[at] - first[i], return_inverse=True)
             out["phase"][at] = phase
-            out["slot"][at] = start + j // k * size + slots[j % k]
-            out["release"][at] = start + j * size // k
-            out["deadline"][at] = start - (-(j + 1) * size // k)
+            # Whole numbers of Python: exact weights can be long.
+            out["release"][at] = np.array([start + j * whole // w for j in js.tolist()], np.int64)[back]
+            out["deadline"][at] = np.array([start - (-(j + 1) * whole // w) for j in js.tolist()], np.int64)[back]
+            slots = [j // each * size + j % each * whole // w for j in js.tolist()]
+            out["slot"][at] = (start + np.array(slots, np.int64) + late[js % each].astype(np.int64))[back]
         short = self.end_short[np.searchsorted(self.end_slots, out["slot"], side="left")]
         out["position"] = out["slot"] * self.block_rows - short + rank % self.block_rows
         return out | {"block": block}
@@ -135,7 +184,7 @@ class Schedule:
 COLUMNS = ["block", "phase", "slot", "release", "deadline", "position"]
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int | None = None, seed: int = SEED) -> DataFrame:
     """doc_id, source, weight, block, phase, slot, release, deadline, position (gapless from 0)."""
     spark = docs.sparkSession
     ship(spark)

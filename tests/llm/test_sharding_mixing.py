@@ -105,3 +105,27 @@ def test_mix_cases(spark):
     assert mixing.mix(df.limit(0)).collect() == []
     out = mixing.mixed(df)
     assert out.columns == df.columns and sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
+
+
+def test_shares_hold_for_the_unrounded_weights():
+    from fractions import Fraction
+
+    import numpy as np
+
+    rows = {"big": 40000} | {f"s{i:02}": 7000 + 13 * i for i in range(11)}
+    for weights in ({s: n**mixing.TEMPER for s, n in rows.items()}, {s: 1.0 for s in rows} | {"s03": 0.0001 * 11}):
+        schedule = mixing.Schedule(rows, weights, block_rows=4)
+        whole = sum(map(Fraction, weights.values()))
+        got = {s: schedule.place(s, np.arange(0, n, 4)) for s, n in rows.items()}
+        end = max(p["slot"][p["phase"] == 0].max() for p in got.values()) + 1
+        assert sum((p["phase"] == 0).sum() for p in got.values()) == end > 5000
+        for s, p in got.items():
+            w = Fraction(weights[s]) / whole
+            slots = p["slot"][p["phase"] == 0]
+            # The count changes at the slots only: it is furthest off just before and just after one.
+            for j, t in enumerate(slots.tolist()):
+                assert abs(j - t * w) < 1 and abs(j + 1 - (t + 1) * w) < 1
+                assert p["release"][j] == j // w <= t < p["deadline"][j] == -(-(j + 1) // w)
+            assert abs(len(slots) - end * w) < 1
+        order = sorted(x for s, n in rows.items() for x in schedule.place(s, np.arange(n))["position"])
+        assert order == list(range(sum(rows.values())))
