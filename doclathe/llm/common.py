@@ -10,6 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +77,24 @@ def drop_scratch() -> None:
 atexit.register(drop_scratch)
 
 
+#: Columns of keyed().
+KEY = ["_doclathe_file", "_doclathe_row"]
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """Adds what tells all rows apart, however equal they are, and is the same whenever ``df`` is read: the file
+    and the row's place in it.  Files of a frame that Spark wrote sort in the order of its partitions by ``part``.  A frame that isn't read from files is written first."""
+    try:
+        return df.select("*", F.col("_metadata.file_path").alias(KEY[0]), F.col("_metadata.row_index").alias(KEY[1]))
+    except AnalysisException:
+        return keyed(scratch(df))
+
+
+def part():
+    """The number of the partition that the file of keyed() was written from; null for files of other names."""
+    return F.regexp_extract(KEY[0], "/part-([0-9]{1,18})[^/]*$", 1).try_cast("long")
+
+
 def small(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most so many rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows

@@ -26,6 +26,7 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
+from collections.abc import Sequence
 from fractions import Fraction
 
 import numpy as np
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclathe.llm.common import scratch, ship, table
+from doclathe.llm.common import KEY, keyed, scratch, ship, table
 from doclathe.llm.ranking import rank_rows
 
 BLOCK_ROWS = 16
@@ -184,11 +185,11 @@ class Schedule:
 COLUMNS = ["block", "phase", "slot", "release", "deadline", "position"]
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int | None = None, seed: int = SEED) -> DataFrame:
-    """doc_id, source, weight, block, phase, slot, release, deadline, position (gapless from 0)."""
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int | None = None, seed: int = SEED, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, weight, block, phase, slot, release, deadline, position (gapless from 0), and the columns to keep."""
     spark = docs.sparkSession
     ship(spark)
-    rows = scratch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.lit(seed), "doc_id").alias("by_id")))
+    rows = scratch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.lit(seed), "doc_id").alias("by_id"), *keep))
     counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     nameless = "" if "" not in counts else "\0null"
     counts = {nameless if s is None else s: n for s, n in counts.items()}
@@ -208,22 +209,19 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
                 for n, x in schedule.place(s, rank[at]).items():
                     out[n][at] = x
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([share[s] for s in names], pa.float64()), *(pa.array(out[n], pa.int64()) for n in COLUMNS)],
-                ["doc_id", "source", "weight", *COLUMNS],
+                [b.column(0), b.column(1), pa.array([share[s] for s in names], pa.float64()), *(pa.array(out[n], pa.int64()) for n in COLUMNS), *b.columns[3:]],
+                ["doc_id", "source", "weight", *COLUMNS, *keep],
             )
 
-    ranked = rank_rows(rows, ["by_id", "doc_id"], "source").select("doc_id", "source", "rank")
-    return ranked.mapInArrow(batches, "doc_id long, source string, weight double, " + ", ".join(f"{n} long" for n in COLUMNS))
+    ranked = rank_rows(rows, ["by_id", "doc_id", *keep], "source").select("doc_id", "source", "rank", *keep)
+    return ranked.mapInArrow(batches, "doc_id long, source string, weight double, " + ", ".join([*(f"{n} long" for n in COLUMNS), *(f"{n} {rows.schema[n].dataType.simpleString()}" for n in keep)]))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents in the mixed order: files written from this frame hold it one after the other."""
-    order = mix(docs, **options).select("doc_id", F.col("position").alias("_position")).groupBy("doc_id").agg(F.min("_position").alias("_position"))
-    name = "_position"
-    while name in docs.columns:
-        name += "_"
-    found = order.withColumnsRenamed({"doc_id": "_mixed_id", "_position": name})
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_mixed_id"))).orderBy(name).select(*[docs[c] for c in docs.columns])
+    rows = keyed(docs)
+    order = mix(rows, keep=KEY, **options).select(*KEY, F.col("position").alias("_doclathe_position"))
+    return rows.join(order, KEY).orderBy("_doclathe_position").select(*docs.columns)
 
 
 def op5_pfair_mixing(spark, sf_dir):

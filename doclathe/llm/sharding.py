@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclathe.llm.common import scratch, table
+from doclathe.llm.common import KEY, keyed, part, scratch, table
 from doclathe.llm.ranking import rank_rows
 
 SHARDS = 40
@@ -46,6 +46,23 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame
     return out.select("doc_id", "source", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def deal(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """All columns of documents that stand in a mixed order, with size, text_crc32, law, shard and slot.
+
+    The order is that of the files and the rows in them (of the frame, where it isn't read from files).  Each
+    source's rows are dealt to the shards in turn, and the next source goes on where the one before ended: a
+    shard has its share of every source to within a row, and shard sizes differ by one row at most (the law
+    ``rows``).  Slots follow the mixed order, so each shard is the mix in small, with the mix's weights along it."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = keyed(docs)
+    order = ["_part", *KEY]
+    slim = rows.select(F.col("source").cast("string").alias("source"), part().alias("_part"), *KEY)
+    dealt = rank_rows(slim, ["source", *order]).select((F.col("rank") % shards).cast("int").alias("shard"), *order)
+    placed = rank_rows(dealt, order, "shard").select(*KEY, "shard", F.col("rank").alias("slot"))
+    sized = rows.withColumns({"size": (F.octet_length(text) + OVERHEAD).cast("long"), "text_crc32": F.crc32(text.cast("binary")), "law": F.lit("rows")})
+    return sized.join(placed, KEY).select(*docs.columns, "size", "text_crc32", "law", "shard", "slot")
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> None:
     """Write the documents to ``path``/shard=K/, in slot order.  doc_id must tell documents apart."""
     placed = docs.join(assign(docs, shards, seed).select("doc_id", "shard", "slot"), "doc_id")

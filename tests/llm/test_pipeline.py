@@ -37,3 +37,35 @@ def test_stages_against_plain_python(spark):
     mixed = corpus_pipeline.mix_sources(spark, kept, SF)
     assert mixed.columns == docs.columns
     assert [order[r.doc_id] for r in mixed.collect()] == list(range(len(rows)))
+
+
+def test_mixing_decides_the_slots(spark, monkeypatch):
+    from doclathe.llm import mixing
+    from doclathe.llm.common import scratch
+
+    docs = spark.createDataFrame([(i, f"text {i}", "big" if i % 4 else "small") for i in range(4000)], "doc_id long, text string, source string")
+
+    def placed(stages):
+        now = docs
+        for stage in stages:
+            now = scratch(stage(spark, now, SF))
+        return {r.doc_id: (r.shard, r.slot) for r in now.collect()}
+
+    def heads(at):
+        """Rows of the small source in the first 20 slots of all shards."""
+        return sum(i % 4 == 0 for i, (_, slot) in at.items() if slot < 20)
+
+    last = [s for _, s in corpus_pipeline.STAGES[3:]]
+    order = {r.doc_id: r.position for r in mixing.mix(docs).collect()}
+    default = placed(last)
+    assert sorted(default.values()) == [(k, i) for k in range(40) for i in range(100)]
+    for k in range(40):
+        inside = sorted((slot, i) for i, (shard, slot) in default.items() if shard == k)
+        assert sum(i % 4 == 0 for _, i in inside) == 25
+        assert [order[i] for _, i in inside] == sorted(order[i] for _, i in inside)
+    assert default != placed(last[1:])  # without mixing
+    weighted = mixing.mixed
+    for weights in ({"big": 9.0, "small": 1.0}, {"big": 1.0, "small": 1.0}):
+        monkeypatch.setattr(mixing, "mixed", lambda d, w=weights: weighted(d, weights=w))
+        share = weights["small"] / sum(weights.values())
+        assert abs(heads(placed(last)) - 800 * share) < 16 + 40
