@@ -19,6 +19,7 @@ result; further columns are not read."""
 from __future__ import annotations
 
 import itertools
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclathe.llm.common import scratch, ship
+from doclathe.llm.common import KEY, keyed, scratch, ship
 from doclathe.llm.components import components
 
 SEED = 42
@@ -58,13 +59,15 @@ def fingerprint(text: str | None) -> int:
 def _fingerprint_batches(batches):
     for b in batches:
         fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of each row."""
+def fingerprints(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) of each row, and the columns to keep."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+    kept = "".join(f", {n} {rows.schema[n].dataType.simpleString()}" for n in keep)
+    return rows.mapInArrow(_fingerprint_batches, "doc_id long, fp long" + kept)
 
 
 def block_plan(n: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
@@ -224,10 +227,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows of one document of each component: the one whose doc_id is smallest."""
-    found = near_duplicates(docs)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component, by fingerprints of all rows: of those with the smallest doc_id the first in the
+    files.  A row without an id stays only where no linked row has one."""
+    rows = keyed(docs)
+    marked = scratch(fingerprints(rows, KEY))
+    nodes = scratch(marked.select("fp").distinct().withColumn("node", F.col("fp")))
+    found = components(links(nodes, nodes.count()))
+    classes = nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+    placed = scratch(marked.join(classes, "fp").select("root", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", *KEY).alias("at")))
+    first = placed.groupBy("root").agg(F.min("at").alias("first"))
+    gone = placed.join(first, "root").filter("at > first").select(*(F.col(f"at.{k}").alias(k) for k in KEY))
+    return rows.join(gone, KEY, "left_anti").select(*docs.columns)
 
 
 def op3_simhash_near_dedup(spark, sf_dir):

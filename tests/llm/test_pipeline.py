@@ -69,3 +69,19 @@ def test_mixing_decides_the_slots(spark, monkeypatch):
         monkeypatch.setattr(mixing, "mixed", lambda d, w=weights: weighted(d, weights=w))
         share = weights["small"] / sum(weights.values())
         assert abs(heads(placed(last)) - 800 * share) < 16 + 40
+
+
+def test_repeated_rows_and_null_ids_stay_once_and_keep_their_rows(spark):
+    from doclathe.llm.common import scratch
+
+    texts = [" ".join(f"w{i}x{j * j}" for j in range(30)) for i in range(40)]
+    rows = [(1, texts[0], "a"), (1, texts[0], "a"), (1, texts[0], "a"), (2, texts[0], None), (None, texts[0], "b")]
+    rows += [(None, texts[1], "a")] * 3 + [(None, t, None) for t in texts[2:20]] + [(7, t, "b") for t in texts[20:]]
+    now = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for _, stage in [corpus_pipeline.STAGES[i] for i in (1, 3, 4)]:
+        now = scratch(stage(spark, now, SF))
+    out = now.collect()
+    assert sorted(r.text for r in out) == sorted(texts)
+    assert {(r.doc_id, r.text, r.source) for r in out} == {(1, texts[0], "a"), (None, texts[1], "a"), *rows[8:]}
+    assert len({(r.shard, r.slot) for r in out}) == len(texts)
+    assert all(r["size"] == len(r.text) + 16 and r.text_crc32 == zlib.crc32(r.text.encode()) for r in out)
