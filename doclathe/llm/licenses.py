@@ -5,8 +5,8 @@ ASCII).  The words, joined by a space, form the searched line.  A phrase that ma
 into k + 1 pieces: whatever matches with k edits holds one piece unchanged (pigeonhole).  Each exact hit
 of a piece gives a window; windows that overlap are joined, and in each the ``regex`` library looks for
 the phrase with at most k insertions, deletions and substitutions, and reports its span and edits.
-A match must begin and end at word boundaries and begin with the phrase's own first letter, else words
-beside it would count as edits.
+A match must begin and end at word boundaries, and the one of fewest edits is taken: a word beside it would
+only add edits.
 
 Exact places of the four base phrases are all counted; labels are those found exactly or nearly.
 
@@ -67,8 +67,21 @@ def pieces(phrase: str, k: int) -> list[tuple[int, bytes]]:
 
 @functools.cache
 def _compiled(phrase: str, k: int):
-    body = regex.escape(phrase[1:])
-    return regex.compile(rb"(?<=^| )%s(?:%s){e<=%d}(?= |$)" % (regex.escape(phrase[:1]).encode(), body.encode(), k), regex.BESTMATCH)
+    """A form for each number of letters put before the phrase: regex inserts none at the start of a match."""
+    body = regex.escape(phrase).encode()
+    return [regex.compile(rb"(?<=^| )[^ ]{%d}(?:%s){e<=%d}(?= |$)" % (i, body, k - i), regex.BESTMATCH) for i in range(k + 1)]
+
+
+def _best(forms, line: bytes, a: int, b: int):
+    """Edits, start and end of the match with fewest edits, or None."""
+    best = None
+    for i, form in enumerate(forms):
+        if best and best[0] <= i:
+            break
+        if m := form.search(line, a, b):
+            here = (i + sum(m.fuzzy_counts), m.start(), m.end())
+            best = min(best, here) if best else here
+    return best
 
 
 def find_all(line: bytes, piece: bytes):
@@ -88,16 +101,16 @@ def fuzzy(line: bytes, phrase: str, k: int) -> list[tuple[int, int, int]]:
             windows[-1][1] = max(windows[-1][1], b)
         else:
             windows.append([a, b])
-    found, form = [], _compiled(phrase, k)
+    found, forms = [], _compiled(phrase, k)
     for a, b in windows:
         if a and line[a - 1 : a] != b" " and (cut := line.rfind(b" ", 0, a)) >= a - 64:
             a = cut + 1
         while b < len(line) and line[b : b + 1] != b" " and b < len(line):
             b += 1
         at = a
-        while at < b and (m := form.search(line, at, b)):
-            found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-            at = max(m.end(), at + 1)
+        while at < b and (m := _best(forms, line, at, b)):
+            found.append((m[1], m[2], m[0]))
+            at = max(m[2], at + 1)
     return found
 
 

@@ -100,3 +100,11 @@ def test_pii_rows(spark):
     assert sorted(r.n_email for r in rows) == [0, 0, 0, 0, 3000]
     assert all(r.base_sha256 == hashlib.sha256(b"").hexdigest() and r.spans == "" for r in rows if not r.n_email)
     assert pii.identifiers(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_edits_in_the_first_letter_are_found():
+    for text, label, edits in (("nit license", "mit", 1), ("it license", "mit", 1), ("emit license", "mit", 1), ("qnu general public license", "gpl", 1), ("nu general public license", "gpl", 1), ("ppache license", "apache", 1)):
+        n = len(text.split())
+        for before in ("", "some words before a "):
+            at = len(before.split())
+            assert (at, at + n, label, edits) in licenses.scan(f"{before}{text} and after")["spans"], (before, text)
