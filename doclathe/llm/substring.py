@@ -1,36 +1,36 @@
 """Substring dedup by hashing units of text.
 
-A text is cut into lines.  A line of more than ``LINE_WORDS`` words is cut further at words chosen by
-their own hash: those that are least among the ``REACH`` words on either side.  Such cuts depend on
-nearby words only, so a passage that stands somewhere inside two long lines is cut alike in both, and
-units stay longer than ``REACH`` words.  A unit's words are lower-cased, joined by one space and hashed
-to 128 bits.  Units of fewer than ``LEAST_WORDS`` words are let be: short ones repeat by chance.
-
-Digests are grouped over the whole corpus; in each group the occurrence that comes first, by doc_id and
-then by offset, is kept, and all others are removed.  Offsets are code points of the original text, end
-exclusive.
+A text is cut into lines, and lines further into pieces, at words chosen by their own hash: between two
+words whose joint hash is least among the ``REACH`` pairs on either side.  Such cuts depend on nearby words
+only, so a passage that stands somewhere inside two lines, or over several, is cut alike in both.  Units
+are all lines, whole, and all pieces.  A unit's words are lower-cased, joined by one space and hashed to
+128 bits.
+
+Digests are grouped over the whole corpus; in each group the occurrence that comes first, by doc_id, row
+and offset, is kept, and the others are repeats.  A whole line that is a repeat is removed, however short.
+A piece that is a repeat is removed if it stands in a run of adjacent repeats of ``RUN_WORDS`` words or
+more (lines without cuts count as pieces), as single pieces repeat by chance.  So of a passage that two
+documents share all is removed but what lies before its first cut and after its last, five words or so at
+either end.  Offsets are code points of the original text, end exclusive.
 
 Defined cases: null, empty and wordless texts have no units; a null doc_id comes before all others, so
-it keeps its units; of repeated rows only the first keeps its units where ids differ, and rows with one
-id and one text count as one document; an empty table gives no rows; further columns are not read."""
+it keeps its units; of repeated rows, with or without ids, only one keeps its units; an empty table gives
+no rows; further columns are not read."""
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclathe.llm.common import scratch, ship, table
 
-LINE_WORDS = 40
-REACH = 6
-LEAST_WORDS = 7
-_LINE = re.compile(r"[^\n\r]+")
+REACH = 4
+RUN_WORDS = 16
 CACHE = 300_000
 _hashes: dict[str, int] = {}
 
@@ -47,81 +47,101 @@ def _word_hashes(words: list[str]) -> np.ndarray:
     return np.array(found, np.uint32)
 
 
-def cuts(words: list[str]) -> list[int]:
-    """Positions after which a long line is cut: strict minima of a hash over REACH words on either side.
-    A word is hashed with the one after it, so that no frequent word makes all the cuts."""
-    if len(words) <= 2 * REACH + 1:
-        return []
-    h = _word_hashes(words).astype(np.uint64)
-    pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)
-    n = len(pair)
-    middle = pair[REACH : n - REACH]
-    least = np.ones(len(middle), bool)
-    for d in range(1, REACH + 1):
-        least &= (middle < pair[REACH - d : n - REACH - d]) & (middle < pair[REACH + d : n - REACH + d])
-    return (np.flatnonzero(least) + REACH + 1).tolist()
+def cuts(words: list[str]) -> np.ndarray:
+    """Marks the words before which a text is cut: strict minima of a hash over REACH pairs on either side.
+    A word is hashed with the one before it, so that no frequent word makes all the cuts."""
+    cut = np.zeros(len(words), bool)
+    if len(words) > 2 * REACH + 1:
+        h = _word_hashes(words).astype(np.uint64)
+        pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)
+        n = len(pair)
+        middle = pair[REACH : n - REACH]
+        least = np.ones(len(middle), bool)
+        for d in range(1, REACH + 1):
+            least &= (middle < pair[REACH - d : n - REACH - d]) & (middle < pair[REACH + d : n - REACH + d])
+        cut[REACH + 1 : n - REACH + 1] = least
+    return cut
 
 
 _SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
 
 
-def word_spans(line: str) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words that split() gives."""
-    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+def word_spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words that split() gives, and where lines end."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     space = np.ones(len(codes) + 2, bool)
     space[1:-1] = _SPACE[np.minimum(codes, 0x3001)]
     edges = np.flatnonzero(space[1:] != space[:-1])
-    return edges[::2], edges[1::2]
-
-
-def units(text: str | None) -> list[tuple[int, int, int, int, int]]:
-    """(start, end, words, high and low half of the digest as signed longs) of each unit."""
-    out = []
-    for line in _LINE.finditer(text or ""):
-        body = line[0]
-        words = body.lower().split()
-        if len(words) < LEAST_WORDS:
-            continue
-        ends = [*(cuts(words) if len(words) > LINE_WORDS else ()), len(words)]
-        spans = None
-        first = 0
-        for end in ends:
-            if end - first >= LEAST_WORDS:
-                if len(ends) == 1:
-                    lead = len(body) - len(body.lstrip())
-                    a, b = lead, len(body.rstrip())
-                else:
-                    if spans is None:
-                        spans = word_spans(body)
-                    a, b = int(spans[0][first]), int(spans[1][end - 1])
-                d = xxhash.xxh3_128_intdigest(" ".join(words[first:end]).encode("utf-8", "surrogatepass"))
-                high, low = d >> 64, d & (1 << 64) - 1
-                out.append((line.start() + a, line.start() + b, end - first, high - (high >> 63 << 64), low - (low >> 63 << 64)))
-            first = end
-    return out
-
-
-_LONG = pa.int64()
-_NAMES = ("doc_id", "start", "end", "n_words", "high", "low")
+    return edges[::2], edges[1::2], np.flatnonzero((codes == 10) | (codes == 13))
+
+
+_FIELDS = {"start": "int", "end": "int", "n_words": "int", "piece": "int", "whole": "boolean"}
+_TYPES = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+
+
+def units(text: str | None) -> tuple[list[np.ndarray], list[bytes]]:
+    """The fields of each unit, and its digest.  piece numbers adjacent pieces; it is -1 for a line that is cut."""
+    words = text.lower().split() if text else []
+    if not words:
+        return [np.zeros(0, np.int32)] * 5, []
+    starts, ends, breaks = word_spans(text)
+    line = np.searchsorted(breaks, starts)
+    join = np.concatenate
+    new_line = join([[True], line[1:] != line[:-1]])
+    first = np.flatnonzero(new_line | cuts(words))
+    last = join([first[1:], [len(words)]])
+    lines = np.flatnonzero(new_line)
+    cut = np.flatnonzero(np.diff(np.searchsorted(first, lines), append=len(first)) > 1)
+    piece = join([np.arange(len(first)), np.full(len(cut), -1)])
+    whole = join([new_line[first] & join([new_line[first[1:]], [True]]), np.ones(len(cut), bool)])
+    first = join([first, lines[cut]])
+    last = join([last, join([lines[1:], [len(words)]])[cut]])
+    data = " ".join(words).encode("utf-8", "surrogatepass")
+    gaps = np.flatnonzero(np.frombuffer(data, np.uint8) == 0x20)
+    view, digest = memoryview(data), xxhash.xxh3_128_digest
+    at = zip(join([[0], gaps + 1])[first].tolist(), join([gaps, [len(data)]])[last - 1].tolist())
+    return [starts[first], ends[last - 1], last - first, piece, whole], [digest(view[a:b]) for a, b in at]
 
 
 def _batches(it):
     for b in it:
-        rows = [(d, *u) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for u in units(t)]
-        cols = list(zip(*rows)) if rows else [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, _LONG) for c in cols], list(_NAMES))
+        found = [units(t) for t in b.column(2).to_pylist()]
+        sizes = np.array([len(d) for _, d in found], np.int64)
+        which = pa.array(np.repeat(np.arange(len(found)), sizes))
+        halves = np.frombuffer(b"".join(d for _, ds in found for d in ds), ">i8").astype(np.int64).reshape(-1, 2)
+        fields = [pa.array(np.concatenate([f[i] for f, _ in found] or [np.zeros(0)]).astype(t.to_pandas_dtype()), t) for i, t in enumerate(_TYPES)]
+        yield pa.RecordBatch.from_arrays([b.column(0).take(which), b.column(1).take(which), *fields, pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["row", "doc_id", *_FIELDS, "high", "low"])
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """row, doc_id, text; to be written before rows are looked up by their number."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _removals(rows: DataFrame) -> DataFrame:
+    ship(rows.sparkSession)
+    found = scratch(rows.mapInArrow(_batches, "row long, doc_id long, " + ", ".join(f"{n} {t}" for n, t in _FIELDS.items()) + ", high long, low long"))
+    # The order of (doc_id, row, start) puts null ids first, as min() of a struct does.  A cut line and its first
+    # piece start together, but never have one digest.
+    groups = found.groupBy("high", "low").agg(F.min(F.struct("doc_id", "row", "start")).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    dups = scratch(groups.select("high", "low", F.col("kept.row").alias("kept_row"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start")))
+    again = found.join(dups, ["high", "low"]).filter("row <> kept_row or start <> kept_start")
+    # Adjacent pieces have one difference between their number and their rank among the row's repeats.
+    pieces = Window.partitionBy("row", F.col("piece") >= 0).orderBy("piece")
+    again = again.withColumn("run", F.col("piece") - F.row_number().over(pieces))
+    run = F.sum("n_words").over(Window.partitionBy("row", F.col("piece") >= 0, "run"))
+    # A piece inside a removed line goes with it.
+    covered = F.max(F.when(F.col("whole"), F.col("end"))).over(Window.partitionBy("row").orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    again = again.withColumn("run_words", run).withColumn("covered", covered)
+    return again.filter(F.col("whole") | ((F.col("run_words") >= RUN_WORDS) & ~F.coalesce(F.col("end") <= F.col("covered"), F.lit(False))))
+
+
+_LONGS = ("start", "end", "n_words")
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, n_words, kept_doc_id, kept_start: a row for each removed unit and the one kept for it."""
-    ship(docs.sparkSession)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = scratch(text.mapInArrow(_batches, ", ".join(f"`{n}` long" for n in _NAMES)))
-    # The order of (doc_id, start) puts null ids first, as min() of a struct does.
-    groups = found.groupBy("high", "low").agg(F.min(F.struct("doc_id", "start")).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    dups = scratch(groups.select("high", "low", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start")))
-    rows = found.join(dups, ["high", "low"]).filter(~(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("start") == F.col("kept_start"))))
-    return rows.select("doc_id", "start", "end", "n_words", "kept_doc_id", "kept_start")
+    return _removals(_numbered(docs)).select("doc_id", *(F.col(c).cast("long").alias(c) for c in _LONGS), "kept_doc_id", F.col("kept_start").cast("long").alias("kept_start"))
 
 
 def _cut_out(text: str, spans: list[tuple[int, int]]) -> str:
@@ -135,11 +155,11 @@ def _cut_out(text: str, spans: list[tuple[int, int]]) -> str:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, text without its removed units, removed: the original spans, in order.  One row for each input row."""
-    spans = removals(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
-    spans = spans.withColumnRenamed("doc_id", "_id")
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = scratch(_numbered(docs))
+    # One row's spans: bounded by its text.
+    spans = _removals(rows).groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))).alias("removed"))
     empty = F.array().cast("array<struct<start:long,end:long>>")
-    joined = text.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", F.coalesce("removed", empty).alias("removed"))
+    joined = rows.join(spans, "row", "left").select("doc_id", "text", F.coalesce("removed", empty).alias("removed"))
 
     def batches(it):
         for b in it:
