@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -69,19 +70,7 @@ def pieces(phrase: str, k: int) -> list[tuple[int, bytes]]:
 def _compiled(phrase: str, k: int):
     """A form for each number of letters put before the phrase: regex inserts none at the start of a match."""
     body = regex.escape(phrase).encode()
-    return [regex.compile(rb"(?<=^| )[^ ]{%d}(?:%s){e<=%d}(?= |$)" % (i, body, k - i), regex.BESTMATCH) for i in range(k + 1)]
-
-
-def _best(forms, line: bytes, a: int, b: int):
-    """Edits, start and end of the match with fewest edits, or None."""
-    best = None
-    for i, form in enumerate(forms):
-        if best and best[0] <= i:
-            break
-        if m := form.search(line, a, b):
-            here = (i + sum(m.fuzzy_counts), m.start(), m.end())
-            best = min(best, here) if best else here
-    return best
+    return [regex.compile(rb"[^ ]{%d}(?:%s){e<=%d}(?= )" % (i, body, k - i), regex.BESTMATCH) for i in range(k + 1)]
 
 
 def find_all(line: bytes, piece: bytes):
@@ -91,27 +80,44 @@ def find_all(line: bytes, piece: bytes):
         at = line.find(piece, at + 1)
 
 
-def fuzzy(line: bytes, phrase: str, k: int) -> list[tuple[int, int, int]]:
-    """Spans (start, end in the line) and edits of the phrase with at most k errors, one for each window."""
-    windows: list[list[int]] = []
-    places = sorted({at - start for start, p in pieces(phrase, k) for at in find_all(line, p)})
-    for at in places:
-        a, b = max(0, at - k), min(len(line), at + len(phrase) + k)
-        if windows and a <= windows[-1][1]:
-            windows[-1][1] = max(windows[-1][1], b)
-        else:
-            windows.append([a, b])
-    found, forms = [], _compiled(phrase, k)
-    for a, b in windows:
-        if a and line[a - 1 : a] != b" " and (cut := line.rfind(b" ", 0, a)) >= a - 64:
-            a = cut + 1
-        while b < len(line) and line[b : b + 1] != b" " and b < len(line):
-            b += 1
-        at = a
-        while at < b and (m := _best(forms, line, at, b)):
-            found.append((m[1], m[2], m[0]))
-            at = max(m[2], at + 1)
-    return found
+def matches(edged: bytes, phrase: str, k: int) -> list[tuple[int, int, int]]:
+    """(edits, start, end) of the best match of the phrase with at most k errors at each word that has one.
+
+    ``edged`` is the line with a space before and after it.  Each word that a seed points to is looked at once,
+    within the phrase's length, so long texts cost no more a byte."""
+    starts = set()
+    for offset, piece in pieces(phrase, k):
+        for at in find_all(edged, piece):
+            least, most = at - offset - k, at - offset + k
+            gap = edged.find(b" ", max(0, least - 1), most)
+            while gap >= 0:
+                starts.add(gap + 1)
+                gap = edged.find(b" ", gap + 1, most)
+    found = []
+    for a in starts:
+        best = None
+        for i, form in enumerate(_compiled(phrase, k)):
+            if best and best[0] <= i:
+                break
+            if m := form.match(edged, a, a + len(phrase) + k + 1):
+                here = (i + sum(m.fuzzy_counts), a, m.end())
+                best = min(best, here) if best else here
+        if best:
+            found.append(best)
+    return sorted(found)
+
+
+def apart(found: list[tuple[int, int, int]], longest: int) -> list[tuple[int, int, int]]:
+    """Of sorted matches that overlap only the first.  Taken ones are kept by the stretches of the line they touch."""
+    taken: dict[int, list[tuple[int, int]]] = {}
+    out = []
+    for e, a, b in found:
+        touched = range(a // longest, (b - 1) // longest + 1)
+        if not any(a < d and c < b for t in touched for c, d in taken.get(t, ())):
+            for t in touched:
+                taken.setdefault(t, []).append((a, b))
+            out.append((e, a, b))
+    return out
 
 
 def scan(text: str | None) -> dict:
@@ -130,9 +136,11 @@ def scan(text: str | None) -> dict:
             places += [(at, label) for at in find_all(edged, b" " + phrase.encode() + b" ")]
             spans += [(at, at + len(phrase), label, 0) for at, x in places if x == label]
         for phrase, (label, k) in MORE.items():
-            spans += [(a, b, label, e) for a, b, e in fuzzy(line, phrase, k)]
+            if found := matches(edged, phrase, k):
+                spans += [(a - 1, b - 1, label, e) for e, a, b in apart(found, len(phrase) + k)]
     places.sort()
-    word = lambda at: line.count(b" ", 0, at)
+    gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 0x20) if spans else ()
+    word = lambda at: int(np.searchsorted(gaps, at))
     base = sorted({x for _, x in places})
     best: dict[str, float] = {}
     for a, b, label, e in spans:

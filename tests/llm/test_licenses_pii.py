@@ -50,6 +50,81 @@ def test_near_notices_are_found_within_the_bound():
     assert licenses.scan("nothing to see, ordinary words licensed to none")["labels"] == ""
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        now = [i + 1]
+        for j, y in enumerate(b):
+            now.append(min(row[j] + (x != y), row[j + 1] + 1, now[j] + 1))
+        row = now
+    return row[-1]
+
+
+def slow_matches(edged, phrase, k):
+    """Start -> edits, by the distance of the phrase to every run of whole words."""
+    gaps = [i for i, c in enumerate(edged) if c == 0x20]
+    out = {}
+    for i, g in enumerate(gaps):
+        ends = [b for b in gaps[i + 1 :] if abs(b - g - 1 - len(phrase)) <= k]
+        d = min((distance(edged[g + 1 : b], phrase.encode()) for b in ends), default=k + 1)
+        if d <= k:
+            out[g + 1] = d
+    return out
+
+
+def edited(rng, phrase, n, letters):
+    s = list(phrase)
+    for _ in range(n):
+        kind, i = rng.choice("ids"), rng.randrange(len(s) + 1)
+        if kind == "i" or i == len(s):
+            s.insert(i, rng.choice(letters))
+        elif kind == "d":
+            del s[i]
+        else:
+            s[i] = rng.choice(letters)
+    return "".join(s)
+
+
+def test_near_matches_against_every_run_of_words():
+    rng = random.Random(11)
+    for phrase, (_, k) in licenses.MORE.items():
+        found = 0
+        for _ in range(40):
+            parts = [edited(rng, phrase, rng.randint(0, k + 1), "aeilnst ") for _ in range(rng.randint(1, 4))]
+            parts += rng.choices(phrase.split(), k=rng.randint(0, 5))
+            rng.shuffle(parts)
+            edged = f" {' '.join(' '.join(parts).split())} ".encode()
+            got = licenses.matches(edged, phrase, k)
+            assert {a: e for e, a, _ in got} == slow_matches(edged, phrase, k), (phrase, edged)
+            assert all(distance(edged[a:b], phrase.encode()) == e and edged[a - 1 : a] == edged[b : b + 1] == b" " for e, a, b in got)
+            kept = licenses.apart(got, len(phrase) + k)
+            want = []
+            for e, a, b in got:
+                if all(b <= c or d <= a for _, c, d in want):
+                    want.append((e, a, b))
+            assert kept == want
+            found += len(got)
+        assert found
+
+
+def test_labels_score_and_spans_of_all_notices():
+    assert licenses.scan("mit licence mit license")["spans"] == [(0, 2, "mit", 1), (2, 4, "mit", 0)]
+    r = licenses.scan("x apache licence, gnu generel public license")
+    assert r["labels"] == "apache,gpl" and r["n_base"] == 0 and r["score"] == max(1 - 1 / 14, 1 - 1 / 26)
+
+
+def test_long_texts_of_near_misses_take_linear_time():
+    import time
+
+    took = []
+    for n in (10_000, 100_000):
+        at = time.perf_counter()
+        assert len(licenses.scan("mit licence " * n)["spans"]) == n
+        took.append(time.perf_counter() - at)
+    assert took[1] < 40 * took[0] and took[1] < 60
+    assert licenses.scan("a" * 1_000_000 + "mit licence " + "b" * 1_000_000)["labels"] == ""
+
+
 def test_license_rows(spark):
     rows = licenses.notices(spark.createDataFrame(CASES, "doc_id long, text string, labels string")).collect()
     assert len(rows) == 5 and {r.n_base for r in rows} == {0, 3000}
