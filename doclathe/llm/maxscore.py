@@ -1,23 +1,26 @@
 """Exact top-k search by MaxScore over vectors, shard by shard.
 
 A component d of a vector, scaled and rounded down to an integer, makes two terms: (d, +) if it is
-positive, (d, -) if negative.  The contribution of a term to a query's inner product is at most the
-query's component times the largest magnitude in the term's postings of that shard; terms whose sign
-disagrees with the query's contribute nothing positive, so their bound is 0.
-
-For each query the terms with a positive bound are sorted by it.  While the sum of the smallest bounds
-stays below the k-th best score found so far those terms are non-essential: a vector in none of the
-essential postings can't enter the result and is never touched.  Essential postings are traversed and
-their contributions added up; the other terms are probed, largest bound first, only for vectors that
-could still compete; the terms of bound 0 come last and settle the exact score.  The k best of each
-shard are merged.
-
-Index shards are blocks of ``SHARD`` vectors, each searched by blocks of ``QUERIES`` queries, so no
-task holds more than one of each; the query set is stated, and never gathered on the driver.
+positive, (d, -) if negative.  What a term can add to a query's inner product is at most the query's
+component times the largest magnitude in the term's postings of the block at hand; terms whose sign
+disagrees with the query's add nothing positive, so the bound of d is that of its agreeing term.
+
+For each query the terms are sorted by bound.  While the sum of the smallest bounds stays below the k-th
+best score found so far those terms are non-essential: a vector that gains nothing from the essential
+ones can't enter the result.  Essential postings are traversed for all queries of a chunk at once - vectors
+are dense, so postings are rows of a matrix and the traversal is a matrix product with the other terms'
+weights at zero.  The other terms are probed, largest bounds first, and only for what still competes:
+down to ``SPARSE`` of the threshold as a second product, the rest vector by vector.  The block's best raise
+the threshold for the next block; the k best of each shard are merged.
+
+Index shards are of about ``SHARD`` vectors, each searched by blocks of about ``QUERIES`` queries, so no task
+holds more than one of each; the query set is stated, and never gathered on the driver.  Vectors are
+copied once for each block of queries, queries once for each shard.
 
 Defined cases: a vector that is null or holds a null or non-finite component takes no part, neither as
-a query nor as a candidate; shorter vectors count as padded with zeros; of rows with one vec_id the
-smallest vector counts, once; scores beyond 64 bits are held at its ends; ties go to the smaller
+a query nor as a candidate; shorter vectors count as padded with zeros; rows that share a vec_id are
+queries and candidates each on its own, a query's own row excepted; a null vec_id is no query, and a
+candidate that comes last among ties; scores beyond 64 bits are held at its ends; ties go to the smaller
 vec_id; fewer than k candidates are all returned; an empty table gives no rows; further columns are not
 read."""
 
@@ -33,114 +36,110 @@ from doclathe.llm.common import scratch, ship, table
 TOP = 10
 SCALE = 1024
 SHARD = 8192
-QUERIES = 512
-#: Vectors scored in full for the first threshold of a query in a shard.
-PROBE = 64
-
-
-class Index:
-    """Postings of one shard: for each term the vectors in falling order of magnitude."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
-        self.columns = np.ascontiguousarray(self.vectors.T)
-        self.high = np.maximum(self.columns.max(axis=1), 0)
-        self.low = np.minimum(self.columns.min(axis=1), 0)
-        self.postings: dict[tuple[int, int], np.ndarray] = {}
-
-    def posting(self, d: int, sign: int) -> np.ndarray:
-        if (d, sign) not in self.postings:
-            x = self.columns[d] * sign
-            at = np.flatnonzero(x > 0)
-            self.postings[d, sign] = at[np.argsort(-x[at], kind="stable")].astype(np.int32)
-        return self.postings[d, sign]
-
-    def search(self, own: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """(vec_id, score) of the k best."""
-        n, zero = len(self.ids), self.vectors.dtype.type(0)
-        bound = np.where(q > 0, q * self.high, q * self.low)
-        terms = np.argsort(-bound, kind="stable")
-        useful = int((bound > 0).sum())
-        threshold = self.first_threshold(own, q, k, terms[: max(1, min(useful, 4))])
-        rest = np.append(np.cumsum(bound[terms][::-1])[::-1], zero)  # rest[i]: most that terms i.. can add
-        if threshold is None or rest[useful] >= threshold:
-            # Even a vector without any positive contribution could enter: all are candidates.
-            essential, at = 0, np.arange(n)
-            sums = np.zeros(n, self.vectors.dtype)
-        else:
-            essential = int((rest[:useful] >= threshold).sum())
-            sums = np.zeros(n, self.vectors.dtype)
-            touched = np.zeros(n, bool)
-            for d in terms[:essential]:
-                p = self.posting(int(d), 1 if q[d] > 0 else -1)
-                sums[p] += self.columns[d][p] * q[d]
-                touched[p] = True
-            at = np.flatnonzero(touched & (sums + rest[essential] >= threshold))
-            sums = sums[at]
-            # What an essential term of the other sign takes away was not in its posting.
-            for d in terms[:essential]:
-                x = self.columns[d][at]
-                sums += np.where((x > 0) == (q[d] > 0), zero, x) * q[d]
-            keep = sums + rest[essential] >= threshold
-            at, sums = at[keep], sums[keep]
-        for i in range(essential, len(terms)):
-            d = terms[i]
-            sums = sums + self.columns[d][at] * q[d]
-            if threshold is not None and i % 4 == 3:
-                keep = sums + rest[i + 1] >= threshold
-                at, sums = at[keep], sums[keep]
-        keep = self.ids[at] != own
-        at, sums = at[keep], sums[keep]
-        best = np.lexsort((self.ids[at], -sums))[:k] if len(at) < 4 * k else self._best(at, sums, k)
-        return [(int(self.ids[at[i]]), int(sums[i])) for i in best]
-
-    def _best(self, at: np.ndarray, sums: np.ndarray, k: int) -> np.ndarray:
-        cut = np.partition(sums, len(sums) - k)[len(sums) - k]
-        top = np.flatnonzero(sums >= cut)
-        return top[np.lexsort((self.ids[at[top]], -sums[top]))[:k]]
-
-    def first_threshold(self, own: int, q: np.ndarray, k: int, terms: np.ndarray):
-        """The k-th best score among vectors at the head of the strongest postings; None if there are fewer."""
-        heads = [self.posting(int(d), 1 if q[d] > 0 else -1)[:PROBE] for d in terms]
-        at = np.unique(np.concatenate(heads)) if heads else np.zeros(0, int)
-        at = at[self.ids[at] != own]
-        if len(at) < k:
-            return None
-        scores = (self.vectors[at] * q).sum(axis=1)
-        return np.partition(scores, len(scores) - k)[len(scores) - k]
-
-
-def to_matrix(vectors: list[list[int]]) -> np.ndarray:
-    """Integers of equal length; Python integers where products could pass 62 bits."""
-    width = max(map(len, vectors), default=0) or 1
-    top = max((abs(x) for v in vectors for x in v), default=0)
-    exact = top * top * width < 1 << 62
-    out = np.zeros((len(vectors), width), np.int64 if exact else object)
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
-    return out
-
-
-def _search_cells(key, tables):
-    """One shard and one block of queries: a row for each of the k best."""
-    vec = tables.column("vec_id").to_numpy()
-    is_query = tables.column("is_query").to_numpy().astype(bool)
-    lists = tables.column("v").combine_chunks()
+QUERIES = 8192
+#: Queries handled together, and vectors of a block; the first block is small, for a first threshold.
+CHUNK, HEAD, BLOCK = 256, 256, 4096
+#: Terms whose bounds sum up to less than this share of the threshold are probed vector by vector.
+SPARSE = 0.125
+PAIRS = 1 << 16
+LOW, HIGH = -(1 << 63), (1 << 63) - 1
+
+
+class Best:
+    """The k best of each query so far: scores (worst possible where there are fewer) and places, in order."""
+
+    def __init__(self, queries: int, k: int, kind):
+        self.k = k
+        self.scores = np.full((queries, k), -np.inf, kind)
+        self.places = np.full((queries, k), -1)
+
+    def threshold(self) -> np.ndarray:
+        """What a vector must reach; nothing where it could still enter anyhow."""
+        last = self.scores[:, -1]
+        return np.where((self.places[:, -1] < 0) | (last <= LOW), -np.inf, last)
+
+    def add(self, query: np.ndarray, place: np.ndarray, score: np.ndarray) -> None:
+        here = np.unique(query)
+        if not len(here):
+            return
+        old = self.places[here] >= 0
+        q = np.concatenate([np.repeat(here, old.sum(axis=1)), query])
+        p = np.concatenate([self.places[here][old], place])
+        s = np.concatenate([self.scores[here][old], score])
+        # Numbers that sort as the scores do, as scores may be Python's integers.
+        order = np.lexsort((p, -np.unique(s, return_inverse=True)[1], q))
+        q, p, s = q[order], p[order], s[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        top = rank < self.k
+        self.scores[here], self.places[here] = -np.inf, -1
+        self.scores[q[top], rank[top]], self.places[q[top], rank[top]] = s[top], p[top]
+
+
+def _traverse(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, rows: np.ndarray, at: int, best: Best) -> None:
+    """One block of vectors, the first of which has place ``at``."""
+    zero = vectors.dtype.type(0) if vectors.dtype != object else 0
+    high, low = np.maximum(vectors.max(axis=0), zero), np.minimum(vectors.min(axis=0), zero)
+    bound = np.where(queries > 0, queries * high, queries * low)
+    order = np.argsort(-bound, axis=1, kind="stable")
+    place = np.argsort(order, axis=1, kind="stable")
+    sums = np.cumsum(np.take_along_axis(bound, order, axis=1)[:, ::-1], axis=1)[:, ::-1]
+    rest = np.concatenate([sums, np.full((len(queries), 1), zero)], axis=1)  # rest[i]: most that terms i.. can add
+    line = best.threshold()[:, None]
+    essential = (rest[:, :-1] >= line).sum(axis=1, keepdims=True)
+    dense = np.maximum(essential, (rest[:, :-1] > line * SPARSE).sum(axis=1, keepdims=True))
+    most = lambda n: np.take_along_axis(rest, n, axis=1)
+    score = np.where(place < essential, queries, zero) @ vectors.T
+    alive = (score + most(essential) >= line) & (own[:, None] != rows[None, :])
+    if (dense > essential).any():
+        score += np.where((place >= essential) & (place < dense), queries, zero) @ vectors.T
+        alive &= score + most(dense) >= line
+    last = np.where(place >= dense, queries, zero)
+    query, where = np.nonzero(alive)
+    full = score[query, where]
+    for a in range(0, len(query) if last.any() else 0, PAIRS):
+        q, v = query[a : a + PAIRS], where[a : a + PAIRS]
+        full[a : a + PAIRS] += (last[q] * vectors[v]).sum(axis=1)
+    full = np.clip(full, LOW, HIGH) if vectors.dtype == object else full
+    keep = np.asarray(full >= line[query, 0], bool)
+    best.add(query[keep], where[keep] + at, full[keep])
+
+
+def search(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, rows: np.ndarray, k: int = TOP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, place and score of the k best; equal scores go to the vector that comes first.
+    own and rows: numbers of the rows that queries and vectors come from."""
+    found = []
+    edges = [0, *range(min(HEAD, len(vectors)), len(vectors), BLOCK), len(vectors)]
+    for a in range(0, len(queries), CHUNK):
+        best = Best(len(queries[a : a + CHUNK]), k, vectors.dtype)
+        for x, y in zip(edges, edges[1:]):
+            if y > x:
+                _traverse(queries[a : a + CHUNK], own[a : a + CHUNK], vectors[x:y], rows[x:y], x, best)
+        q, i = np.nonzero(best.places >= 0)
+        found.append((q + a, best.places[q, i], best.scores[q, i]))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int),) * 3
+
+
+def to_matrix(lists) -> np.ndarray:
+    """Whole numbers of equal length, as doubles; as Python's integers where sums of products could pass 2 ** 53."""
     flat, ends = np.asarray(lists.flatten()), np.asarray(lists.offsets)
     lengths = np.diff(ends)
-    if len(vec) and (lengths == lengths[0]).all() and lengths[0] and np.abs(flat).max(initial=0) < 1 << 24:
-        m = flat.astype(np.int64).reshape(len(vec), -1)
-    else:
-        big = [[int(x) for x in row] for row in lists.to_pylist()]
-        m = to_matrix(big)
-    rows: list[tuple[int, int, int]] = []
-    if (~is_query).any():
-        index = Index(vec[~is_query], m[~is_query])
-        for own, q in zip(vec[is_query], m[is_query]):
-            rows += [(int(own), i, max(-(1 << 63), min((1 << 63) - 1, s))) for i, s in index.search(int(own), q, TOP)]
-    cols = list(zip(*rows)) if rows else [(), (), ()]
-    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols)})
+    width = int(max(lengths.max(initial=0), 1))
+    top = np.abs(flat).max(initial=0)
+    out = np.zeros((len(lengths), width))
+    out[np.repeat(np.arange(len(lengths)), lengths), np.arange(len(flat)) - np.repeat(ends[:-1] - ends[0], lengths)] = flat
+    return out if top * top * width < 1 << 53 else np.vectorize(int, otypes=[object])(out)
+
+
+def _search_cells(key, cell):
+    """One shard and one block of queries: a row for each of the k best."""
+    cell = cell.combine_chunks().sort_by([("vec_id", "ascending"), ("row", "ascending")])  # null ids last
+    m = to_matrix(cell.column("v").combine_chunks())
+    is_query = np.asarray(cell.column("is_query").combine_chunks().to_numpy(zero_copy_only=False), bool)
+    row, ids = cell.column("row").to_numpy(), cell.column("vec_id").combine_chunks()
+    vectors, queries = np.flatnonzero(~is_query), np.flatnonzero(is_query)
+    q, p, s = search(m[queries], row[queries], m[vectors], row[vectors])
+    taken, of = pa.array(vectors[p]), pa.array(queries[q])
+    return pa.table({"query_row": row[queries[q]], "query_id": ids.take(of), "row": row[vectors[p]], "vec_id": ids.take(taken), "score": pa.array([int(x) for x in s], pa.int64())})
 
 
 def top_k(vectors: DataFrame, every: int = 100) -> DataFrame:
@@ -148,23 +147,23 @@ def top_k(vectors: DataFrame, every: int = 100) -> DataFrame:
     ship(vectors.sparkSession)
     x = F.col("embedding").cast("array<double>")
     clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).filter(
-        F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+        F.col("x").isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     )
     # floor() of a double stays a double here, so that no component is out of a long's range.
     whole = F.transform("x", lambda c: F.when(F.abs(c) < 2.0**50, F.floor(c * SCALE).cast("double")).otherwise(c * SCALE))
-    data = scratch(clean.groupBy("vec_id").agg(F.min("x").alias("x")).select("vec_id", whole.alias("v")))
+    data = scratch(clean.select(F.monotonically_increasing_id().alias("row"), "vec_id", whole.alias("v")))
     queries = data.filter(F.pmod("vec_id", F.lit(every)) == 0)
     shards = -(-data.count() // SHARD)
     blocks = -(-queries.count() // QUERIES)
     if not shards or not blocks:
         return data.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    spread = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(n)).cast("int")
+    spread = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(n)).cast("int")
     every_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = data.select(spread(1, shards).alias("shard"), "vec_id", "v").select("shard", every_of(blocks).alias("block"), "vec_id", "v", F.lit(False).alias("is_query"))
-    right = queries.select(spread(2, blocks).alias("block"), "vec_id", "v").select(every_of(shards).alias("shard"), "block", "vec_id", "v", F.lit(True).alias("is_query"))
-    cells = left.unionByName(right).groupBy("shard", "block").applyInArrow(_search_cells, "query_id long, vec_id long, score long")
+    left = data.select(spread(1, shards).alias("shard"), "row", "vec_id", "v").select("shard", every_of(blocks).alias("block"), "row", "vec_id", "v", F.lit(False).alias("is_query"))
+    right = queries.select(spread(2, blocks).alias("block"), "row", "vec_id", "v").select(every_of(shards).alias("shard"), "block", "row", "vec_id", "v", F.lit(True).alias("is_query"))
+    cells = left.unionByName(right).groupBy("shard", "block").applyInArrow(_search_cells, "query_row long, query_id long, row long, vec_id long, score long")
     # Each map task keeps k rows of a query before the shuffle (Spark limits the groups of a ranking early).
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    w = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "row")
     return cells.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= TOP).select("query_id", "rank", "vec_id", "score")
 
 
@@ -174,15 +173,15 @@ def op6_maxscore_top_k(spark, sf_dir):
 
 SQL = """
 WITH clean AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
   FROM embeddings
   WHERE embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-  FROM clean q JOIN clean c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+  SELECT q.r AS query, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM clean q JOIN clean c ON q.vec_id % 100 = 0 AND q.r <> c.r
 ), ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score
   FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
