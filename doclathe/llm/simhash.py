@@ -9,8 +9,9 @@ fingerprints agree on some choice of blocks (pigeonhole); equal choices form a b
 the bit planes of all members are stored vertically, and saturating carry-save counters update 64
 distances with each word operation; a block is abandoned once all its lanes exceed the radius.
 Equal fingerprints are grouped before that, so copies cost nothing.  A bucket with more than
-``BUCKET`` different fingerprints is dealt out as a grid of pairs of chunks, so no task holds more
-than two chunks at once.  From each bucket go only the edges of a spanning star, not all pairs.
+``BUCKET`` different fingerprints is split by further bits: linked ones agree on one of three parts of
+the bits that the bucket left open, and so on until buckets are small; as its members differ in open
+bits only, a few rounds always do.  From each bucket go only the edges of a spanning star, not all pairs.
 
 Defined cases: null or wordless text has fingerprint 0 and is linked like any other; fewer than
 three words are one shingle; repeated rows give repeated rows; an empty table gives an empty
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from doclathe.llm.components import components
 SEED = 42
 WORDS = 3
 RADIUS = 2
-#: Most different fingerprints of one bucket that are compared in one go.
+#: Most different fingerprints of one bucket that are compared with each other.
 BUCKET = 2048
 FULL = (1 << 64) - 1
 
@@ -91,34 +93,52 @@ def _lanes(words: np.ndarray, n: int) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=-1, bitorder="little")[..., :n].astype(bool)
 
 
-def near(mismatch, shape, radius: int = RADIUS) -> np.ndarray:
+def _unused(n: int, words: int) -> np.ndarray:
+    """Words with the lanes set that hold no value."""
+    out = np.zeros(words, np.uint64)
+    if n % 64:
+        out[-1] = np.uint64(FULL << n % 64 & FULL)
+    return out
+
+
+def near(mismatch, dead: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """Words with the lanes set that mismatch in at most ``radius`` of the 64 planes.
-    mismatch: plane number -> words.  Counters have as many bit slices as radius + 1 needs."""
-    slices = [np.zeros(shape, np.uint64) for _ in range((radius + 1).bit_length())]
-    dead = np.zeros(shape, np.uint64)
+
+    mismatch(plane, blocks): the words of the blocks still at work; a block is a word of 64 lanes.  dead: lanes that
+    are out from the start.  Counters have as many bit slices as radius + 1 needs.  Once all lanes of a block
+    exceed the radius the block is abandoned: its planes are read no further."""
+    live = np.arange(len(dead))
+    out = np.full(len(dead), FULL, np.uint64)
+    dead = dead.copy()
+    slices = [np.zeros(len(dead), np.uint64) for _ in range((radius + 1).bit_length())]
     for b in range(64):
-        carry = mismatch(b)
-        for s in slices:
-            carry, s[...] = s & carry, s ^ carry
-        dead |= carry
-        over = np.full(shape, FULL, np.uint64)
+        carry = mismatch(b, live)
+        for i, s in enumerate(slices):
+            slices[i], carry = s ^ carry, s & carry
+        over = ~np.zeros_like(dead)
         for k, s in enumerate(slices):  # the count radius + 1
             over &= s if (radius + 1) >> k & 1 else ~s
-        dead |= over
-        if b % 4 == 3 and (dead == FULL).all():
-            break
-    return ~dead
+        dead |= carry | over
+        if b % 4 == 3:
+            keep = dead != FULL
+            if not keep.all():
+                live, dead, slices = live[keep], dead[keep], [s[keep] for s in slices]
+                if not len(live):
+                    break
+    out[live] = dead
+    return ~out
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """A boolean matrix: which of a are within the radius of which of b."""
     planes = planes_of(b)
+    words = planes.shape[1]
     out = np.zeros((len(a), len(b)), bool)
     for at in range(0, len(a), 256):
         probe = a[at : at + 256]
         masks = np.where((probe[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1), np.uint64(FULL), np.uint64(0))
-        words = near(lambda i: planes[i][None, :] ^ masks[:, i : i + 1], (len(probe), planes.shape[1]), radius)
-        out[at : at + 256] = _lanes(words, len(b))
+        found = near(lambda i, blocks: planes[i][blocks % words] ^ masks[blocks // words, i], np.tile(_unused(len(b), words), len(probe)), radius)
+        out[at : at + 256] = _lanes(found.reshape(len(probe), words), len(b))
     return out
 
 
@@ -139,17 +159,14 @@ def _stars(adjacent: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def bucket_edges(bucket: np.ndarray, fp: np.ndarray, node: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges between nodes of equal bucket (rows sorted by it).  side: 0 to compare a row with all of its
-    bucket, 1 and 2 to compare only rows of different sides."""
+def bucket_edges(bucket: np.ndarray, fp: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between nodes of equal bucket (rows sorted by it)."""
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
     sizes = np.diff(np.r_[starts, len(bucket)])
     us, vs = [], []
     for s, n in zip(starts[sizes > 64], sizes[sizes > 64]):
-        part, names, sides = fp[s : s + n], node[s : s + n], side[s : s + n]
-        adjacent = close_pairs(part, part)
-        adjacent &= (sides[:, None] != sides[None, :]) | (sides[:, None] == 0)
-        for i, j in _stars(adjacent):
+        part, names = fp[s : s + n], node[s : s + n]
+        for i, j in _stars(close_pairs(part, part)):
             us.append(names[i])
             vs.append(names[j])
     is_small = np.repeat(sizes <= 64, sizes)
@@ -160,7 +177,7 @@ def bucket_edges(bucket: np.ndarray, fp: np.ndarray, node: np.ndarray, side: np.
         if not len(i):
             break
         planes = planes_of(fp[i] ^ fp[i + shift])
-        hit = i[_lanes(near(lambda b: planes[b], planes.shape[1:]), len(i))]
+        hit = i[_lanes(near(lambda b, blocks: planes[b][blocks], _unused(len(i), planes.shape[1])), len(i))]
         u, v = np.r_[u, node[hit]], np.r_[v, node[hit + shift]]
     return u, v
 
@@ -169,15 +186,12 @@ def _edge_batches(batches):
     """Rows come sorted by bucket; a bucket may run over several batches."""
     kept: list[np.ndarray] | None = None
     for b in batches:
-        cols = [np.asarray(b.column(i)) for i in range(5)]
+        cols = [np.asarray(b.column(i)) for i in range(3)]
         if kept is not None:
             cols = [np.concatenate(x) for x in zip(kept, cols)]
         if not len(cols[0]):
             continue
-        same = np.ones(len(cols[0]), bool)
-        for c in cols[:2]:
-            same &= c == c[-1]
-        cut = len(same) - (int(np.argmin(same[::-1])) if not same.all() else len(same))
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
         kept = [c[cut:] for c in cols]
         if cut:
             yield _edges([c[:cut] for c in cols])
@@ -186,35 +200,41 @@ def _edge_batches(batches):
 
 
 def _edges(cols: list[np.ndarray]) -> pa.RecordBatch:
-    bucket, cell, fp, node, side = cols
-    changed = np.r_[True, (bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])]
-    u, v = bucket_edges(np.cumsum(changed), fp.view(np.uint64), node, side)
+    bucket, fp, node = cols
+    u, v = bucket_edges(bucket, fp.view(np.uint64), node)
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
+def _signed(x: int) -> int:
+    return x - (x >> 63 << 64)
+
+
+def finer(mask: int, radius: int = RADIUS) -> list[int]:
+    """Masks that hold the bits of ``mask`` and one of radius + 1 parts of the others."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    cuts = [len(free) * i // (radius + 1) for i in range(radius + 2)]
+    return [mask | sum(1 << b for b in free[x:y]) for x, y in itertools.pairwise(cuts)]
+
+
 def links(nodes: DataFrame, n: int) -> DataFrame:
     """nodes: fp, node (different fingerprints) -> u, v: edges that connect exactly what links connect."""
-    keys = []
-    for t, blocks in enumerate(block_plan(n)):
-        parts = [F.shiftrightunsigned("fp", a).bitwiseAND((1 << w) - 1) for a, w in blocks]
-        keys.append(F.xxhash64(F.lit(t), *parts))
-    keyed = nodes.select("fp", "node", F.explode(F.array(*keys)).alias("bucket"))
-    counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    hot = counts.filter(F.col("n") > BUCKET).select("bucket", F.ceil(F.col("n") / (BUCKET // 2)).cast("int").alias("k"))
-    rows = keyed.join(hot, "bucket", "left")
-    # Chunk c of k meets itself in cell (c, c), and chunk d in the cell of both; an ordinary bucket has the one cell 0.
-    c = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("k")).cast("long")
-    cells = F.transform(
-        F.sequence(F.lit(0), F.col("k") - 1),
-        lambda d: F.struct(
-            (F.least(c, d) * F.col("k") + F.greatest(c, d) + 1).cast("long").alias("cell"),
-            F.when(c == d, 0).when(c < d, 1).otherwise(2).alias("side"),
-        ),
-    )
-    one = F.array(F.struct(F.lit(0).cast("long").alias("cell"), F.lit(0).alias("side")))
-    rows = rows.select("bucket", "fp", "node", F.inline(F.when(F.col("k").isNull(), one).otherwise(cells)))
-    dealt = rows.select("bucket", "cell", "fp", "node", F.col("side").cast("int").alias("side")).repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
-    return dealt.mapInArrow(_edge_batches, "u long, v long")
+    masks = [sum((1 << w) - 1 << a for a, w in blocks) for blocks in block_plan(n)]
+    found, rows = [], nodes.select("fp", "node", F.lit(None).cast("int").alias("of"))
+    while True:
+        # A row's key is its bits under each mask that refines its last one.
+        table_ = F.array(*(F.lit(_signed(m)) for m in masks))
+        each = F.sequence(F.lit(0), F.lit(len(masks) - 1)) if not found else F.sequence(F.col("of") * (RADIUS + 1), F.col("of") * (RADIUS + 1) + RADIUS)
+        keyed_ = rows.select("fp", "node", F.explode(each).alias("of"))
+        keyed_ = keyed_.withColumn("bucket", F.xxhash64("of", F.col("fp").bitwiseAND(F.element_at(table_, F.col("of") + 1))))
+        hot = scratch(keyed_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET).select("bucket"))
+        any_hot = bool(hot.limit(1).count())
+        cold = keyed_.join(hot, "bucket", "left_anti") if any_hot else keyed_
+        dealt = cold.select("bucket", "fp", "node").repartition("bucket").sortWithinPartitions("bucket")
+        found.append(dealt.mapInArrow(_edge_batches, "u long, v long"))
+        if not any_hot:
+            return reduce(DataFrame.union, found)
+        rows = scratch(keyed_.join(hot, "bucket", "left_semi").select("fp", "node", "of"))
+        masks = [f for m in masks for f in finer(m)]
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

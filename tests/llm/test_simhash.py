@@ -64,17 +64,64 @@ def test_bit_sliced_matrix():
     assert (simhash.close_pairs(a, b) == want).all()
 
 
-def test_hot_bucket_is_dealt_as_a_grid(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BUCKET", 16)
-    rng = np.random.default_rng(2)
-    base = int(rng.integers(0, 1 << 62))
-    fps = {base}
-    while len(fps) < 150:  # a connected cloud around one fingerprint
-        fps.add(rng.choice(list(fps)) ^ (1 << int(rng.integers(0, 40))))
-    rows = [(int(x), i) for i, x in enumerate(sorted(fps))]
-    nodes = spark.createDataFrame(rows, "fp long, node long")
+def test_blocks_are_abandoned_and_unused_lanes_are_dead():
+    rng = np.random.default_rng(3)
+    for n in (1, 63, 64, 65, 641, 1000):
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        x[: n // 100] = np.uint64(5)  # a few near ones keep their block only
+        planes, read = simhash.planes_of(x), []
+
+        def mismatch(b, blocks):
+            read.append(len(blocks))
+            return planes[b][blocks]
+
+        got = simhash._lanes(simhash.near(mismatch, simhash._unused(n, planes.shape[1])), n)
+        assert got.tolist() == [int(v).bit_count() <= 2 for v in x]
+        if n == 641:
+            assert len(read) == 64 and read[40] == 1  # the block of the near ones
+        if n == 65:
+            assert len(read) < 40
+
+
+def cloud(rng, n, bits):
+    """Different fingerprints, connected by single bits, around one."""
+    fps = {int(rng.integers(0, 1 << 62))}
+    known = list(fps)
+    while len(fps) < n:
+        x = known[int(rng.integers(len(known)))] ^ (1 << int(rng.integers(0, bits)))
+        if x not in fps:
+            fps.add(x)
+            known.append(x)
+    return known
+
+
+def linked(spark, fps, n):
     from doclathe.llm.components import components
 
-    got = {(r.node, r.root) for r in components(simhash.links(nodes, len(rows))).collect()}
-    want = classes([(n, x) for x, n in rows])
-    assert {k: v for k, v in got} == {k: v for k, v in want.items() if v in {x for y, x in got}} and len(got) == sum(list(want.values()).count(v) > 1 for v in want.values())
+    rows = [(x - (x >> 63 << 64), i) for i, x in enumerate(fps)]
+    edges = simhash.links(spark.createDataFrame(rows, "fp long, node long"), n)
+    return {r.node: r.root for r in components(edges).collect()}, edges
+
+
+def test_every_block_plan_is_exact(spark):
+    rng = np.random.default_rng(4)
+    fps = []
+    for _ in range(60):
+        x = int(rng.integers(0, 1 << 63)) << 1
+        fps += {x, *(x ^ sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for k in (1, 2, 2, 3, 3, 4))}
+    want = classes(list(enumerate(fps)))
+    for n in (1, 1 << 22, 1 << 30):
+        assert len(simhash.block_plan(n)) == {1: 3, 1 << 22: 6, 1 << 30: 10}[n]
+        got, _ = linked(spark, fps, n)
+        assert {i: got.get(i, i) for i in want} == want
+
+
+def test_hot_buckets_are_split_by_further_bits(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 64)
+    rng = np.random.default_rng(2)
+    fps = cloud(rng, 400, 40) + cloud(rng, 300, 20) + [int(x) for x in rng.integers(0, 1 << 62, 300)]
+    want = classes(list(enumerate(fps)))
+    for n in (1, 1 << 30):
+        got, edges = linked(spark, fps, n)
+        assert {i: got.get(i, i) for i in want} == want
+        assert edges.count() < 60 * len(fps)
