@@ -17,7 +17,8 @@ def test_stages_against_plain_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [r.asDict() for r in docs.collect()]
     model = langid.train(docs)
-    rows = [r for r in rows if (p := model.predict(r["text"]))[0] != "und" and (p[2] <= langid.MAX_BITS or len(langid.normal(r["text"])) < langid.LEAST_BYTES)]
+    said = model.predict([r["text"] for r in rows])
+    rows = [r for r, (lang, _, bits, known) in zip(rows, said) if lang != "und" and known == (bits * (n := len(langid.normal(r["text"]))) <= langid.NONE_BITS * n + langid.NONE_PRIOR) and known]
     root = classes([(r["doc_id"], fingerprint(r["text"])) for r in rows])
     rows = [r for r in rows if root[r["doc_id"]] == r["doc_id"]]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
