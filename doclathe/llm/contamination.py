@@ -15,20 +15,23 @@ the sketches' hashes; hits are the candidates.
 Verification.  Candidate documents are shingled again and their shingles, as strings, are compared with
 all of the candidate item's: the containment is exact.
 
+No sketch of a document is made: all its shingles are probed, so its size doesn't matter.
+
 The sketches, and the items' shingles, are broadcast only after a check that they have at most ``BROADCAST_ROWS`` rows; beyond
 that the lookup is a shuffled join.  Items with one text are searched once.
 
 Defined cases: null or wordless texts have no shingles and neither contain nor are contained; fewer than
 five words are one shingle, which only a text of just those words has; repeated item rows give one row
 for each different item_id; repeated documents count by doc_id, which holds whatever one of its rows
-holds together; rows without an id take no part; empty tables give no rows; further columns are not read."""
+holds together; documents without an id take no part in ``contained``, while ``clean`` looks at each row by
+itself, with or without an id; empty tables give no rows; further columns are not read."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doclathe.llm.common import scratch, small, table
+from doclathe.llm.common import KEY, keyed, scratch, small, table
 
 WORDS = 5
 CONTAINMENT = 0.8
@@ -38,11 +41,11 @@ BROADCAST_ROWS = 200_000
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def _words(df: DataFrame, id_: str, keep: str) -> DataFrame:
-    """The words of each text.  Splitting leaves an empty word where a gap is first or last.  There is no
+def _words(df: DataFrame, keep: str) -> DataFrame:
+    """keep, w: the words of each text.  Splitting leaves an empty word where a gap is first or last.  There is no
     filter on the words: Spark would push it below and split every text again for it."""
     words = F.array_remove(F.split(F.lower(F.col("text").cast("string")), GAP), "")
-    return df.filter(F.col(id_).isNotNull() & F.col("text").isNotNull()).select(F.col(id_).cast("long").alias(keep), words.alias("w"))
+    return df.filter(F.col("text").isNotNull()).select(keep, words.alias("w"))
 
 
 def _positions(rows: DataFrame, *keep: str) -> DataFrame:
@@ -57,9 +60,9 @@ _HASH = f"xxhash64({', '.join(_PARTS)})"
 _TEXT = f"concat_ws(' ', {', '.join(_PARTS)})"
 
 
-def shingles(df: DataFrame, id_: str, keep: str) -> DataFrame:
+def shingles(df: DataFrame, keep: str) -> DataFrame:
     """keep, h, shingle: the different shingles of each id."""
-    return _positions(_words(df, id_, keep), keep).select(keep, F.expr(_TEXT).alias("shingle"), F.expr(_HASH).alias("h")).distinct()
+    return _positions(_words(df, keep), keep).select(keep, F.expr(_TEXT).alias("shingle"), F.expr(_HASH).alias("h")).distinct()
 
 
 def sketches(items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
@@ -81,32 +84,40 @@ def _lookup(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(keys) if small(keys, BROADCAST_ROWS) else keys, "h")
 
 
-def contained(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """doc_id, item_id, n_shared, n_item, containment: the test items that each document contains."""
+def _contained(docs: DataFrame, benchmark: DataFrame, containment: float) -> DataFrame:
+    """docs: doc (of any type, not null), text -> doc, item_id, n_shared, n_item."""
     same = F.min("item_id").over(Window.partitionBy("text"))
     tests = scratch(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null").distinct())
     once = tests.withColumn("item", same)
-    items = scratch(shingles(once.select("item", "text").distinct(), "item", "item"))
+    items = scratch(shingles(once.select("item", "text").distinct(), "item"))
     sketch = scratch(sketches(items, containment))
-    hits = _lookup(_positions(_words(docs, "doc_id", "doc"), "doc").select("doc", F.expr(_HASH).alias("h")), sketch.select("item", "h"))
+    hits = _lookup(_positions(_words(docs, "doc"), "doc").select("doc", F.expr(_HASH).alias("h")), sketch.select("item", "h"))
     candidates = scratch(hits.select("doc", "item").distinct())
     # The second pass shingles the texts of candidate documents only, and keeps what any item has.
-    chosen = candidates.select(F.col("doc").alias("_doc")).distinct()
-    again = docs.join(chosen, F.col("doc_id").cast("long") == F.col("_doc"), "left_semi")
+    again = docs.join(candidates.select("doc").distinct(), "doc", "left_semi")
     # The text is taken before the lookup, as rows that are shuffled must not carry all words of a document.
-    near = _positions(_words(again, "doc_id", "doc"), "doc").select("doc", F.expr(_HASH).alias("h"), F.expr(_TEXT).alias("_text"))
+    near = _positions(_words(again, "doc"), "doc").select("doc", F.expr(_HASH).alias("h"), F.expr(_TEXT).alias("_text"))
     have = _lookup(near, items).filter(F.col("_text") == F.col("shingle")).select("doc", "item", "shingle").distinct()
     sizes = sketch.select("item", "n_item").distinct()
     shared = have.join(candidates, ["doc", "item"]).groupBy("doc", "item").agg(F.count(F.lit(1)).alias("n_shared"))
     found = shared.join(sizes, "item").filter(F.col("n_shared") >= F.col("n_item") * containment - 1e-9)
     named = found.join(once.select("item", "item_id").distinct(), "item")
-    return named.select(F.col("doc").alias("doc_id"), "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment")).distinct()
+    return named.select("doc", "item_id", "n_shared", "n_item").distinct()
+
+
+def contained(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+    """doc_id, item_id, n_shared, n_item, containment: the test items that each document contains."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).filter("doc is not null")
+    found = _contained(rows, benchmark, containment)
+    return found.select(F.col("doc").alias("doc_id"), "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """The rows, with all their columns, of documents that contain no test item."""
-    bad = contained(docs, benchmark, containment).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+    """The rows, with all their columns, that contain no test item."""
+    rows = keyed(docs)
+    found = _contained(rows.select(F.struct(*KEY).alias("doc"), F.col("text").cast("string").alias("text")), benchmark, containment)
+    bad = found.select(*(F.col(f"doc.{k}").alias(k) for k in KEY)).distinct()
+    return rows.join(bad, KEY, "left_anti").select(*docs.columns)
 
 
 def op9_minhash_containment(spark, sf_dir):

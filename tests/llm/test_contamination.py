@@ -44,17 +44,20 @@ def test_cases_and_shuffled_lookup(spark, monkeypatch):
     edited = item.replace("word20", "other")
     docs = [(1, f"Before, {item.upper()}; after", "x"), (2, f"x {edited} y", "x"), (3, item[:100], "x"), (4, None, None), (5, "", "x"), (6, "Two words", "x"), (6, "Two words", "x"), (7, ("z " * 100000) + item, "x"), (None, item, "x"), (8, "more than two words", "x")]
     items = [(1, item, "y"), (2, item, "y"), (2, item, "y"), (3, "two  words!", "y"), (4, None, "y"), (None, item, "y"), (5, "...", "y")]
-    d = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
+    d = spark.createDataFrame(docs, "doc_id long, text string, doc string")
     b = spark.createDataFrame(items, "item_id long, text string, doc_id string")
     want = plain([x[:2] for x in docs], [x[:2] for x in items])
     assert {(x[0], x[1]) for x in want} >= {(1, 1), (1, 2), (2, 1), (6, 3), (7, 2)}
     assert rows(d, b) == want
-    assert sorted(str(r.doc_id) for r in contamination.clean(d, b).collect()) == ["3", "4", "5", "8", "None"]
+    assert sorted(str(r.doc_id) for r in contamination.clean(d, b).collect()) == ["3", "4", "5", "8"]
     assert contamination.clean(d, b).columns == d.columns
     monkeypatch.setattr(contamination, "BROADCAST_ROWS", 0)
     assert rows(d, b) == want
     assert rows(d.limit(0), b) == set() and rows(d, b.limit(0)) == set()
     assert contamination.clean(d, b.limit(0)).count() == len(docs)
+    # Row by row: rows that share an id or have none are told apart.
+    mixed = spark.createDataFrame([(9, "quite clean"), (9, item), (None, "clean too"), (None, item), (None, edited)], "doc_id long, text string")
+    assert sorted(r.text for r in contamination.clean(mixed, b).collect()) == ["clean too", "quite clean"]
 
 
 def test_every_contained_item_is_a_candidate(spark):
