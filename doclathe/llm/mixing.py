@@ -1,6 +1,7 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Rows of a source are shuffled by a seeded hash and cut into blocks of ``block_rows``.  A source of
+Rows of a source are shuffled by a seeded hash and cut into blocks of ``block_rows``: ``BLOCK_ROWS``, or as
+many as make about ``BLOCKS`` blocks of all rows, so that the driver's work has a bound.  A source of
 weight w releases its block j at slot floor(j / w), to be placed before slot ceil((j + 1) / w); each
 slot takes the released block whose deadline comes first.  With weights that sum to one every
 deadline is met, so at any slot each source has had less than one block more or less than its share.
@@ -8,8 +9,8 @@ deadline is met, so at any slot each source has had less than one block more or
 Weights are taken as they are: releases and deadlines are computed in whole numbers from the exact
 values, and a phase is scheduled block by block, so the bound holds at any length.  When a source has
 run out, the others' weights are scaled to sum to one and a new phase begins, so all rows are placed,
-each once.  The driver takes one step and holds one small number for each block, beside a row count for
-each source; sources are taken to be few enough for that.
+each once.  The driver takes one step and holds one small number for each block, and a row count for
+each source; both are broadcast, and bounded by ``BLOCKS`` and ``SOURCES``.
 
 A caller may give ``period`` instead: weights are then rounded to whole slots of a period, one slot each
 at least, and only one period is simulated.  The bound then holds for the rounded weights.
@@ -38,6 +39,10 @@ from doclathe.llm.common import KEY, keyed, scratch, ship, table
 from doclathe.llm.ranking import rank_rows
 
 BLOCK_ROWS = 16
+#: The driver schedules about so many blocks at most: beyond, blocks get longer.
+BLOCKS = 1 << 20
+#: More different sources are refused.
+SOURCES = 100_000
 TEMPER = 0.5
 SEED = 20240608
 
@@ -185,17 +190,20 @@ class Schedule:
 COLUMNS = ["block", "phase", "slot", "release", "deadline", "position"]
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int | None = None, seed: int = SEED, keep: Sequence[str] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int | None = None, period: int | None = None, seed: int = SEED, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, source, weight, block, phase, slot, release, deadline, position (gapless from 0), and the columns to keep."""
     spark = docs.sparkSession
     ship(spark)
     rows = scratch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.lit(seed), "doc_id").alias("by_id"), *keep))
-    counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(SOURCES + 1).collect()}
+    if len(counts) > SOURCES:
+        raise ValueError(f"more than {SOURCES} different sources")
+    block_rows = block_rows or max(BLOCK_ROWS, -(-sum(counts.values()) // BLOCKS))
     nameless = "" if "" not in counts else "\0null"
     counts = {nameless if s is None else s: n for s, n in counts.items()}
     target = weights if weights is not None else {s: n**TEMPER for s, n in counts.items()}
     whole = sum(max(0.0, target.get(s, 0)) for s in counts) or 1.0
-    schedule = Schedule(counts, target, block_rows, period)
+    schedule = spark.sparkContext.broadcast(Schedule(counts, target, block_rows, period))
     share = {s: max(0.0, target.get(s, 0)) / whole for s in counts}
 
     def batches(it):
@@ -206,7 +214,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
             out = {n: np.zeros(len(rank), np.int64) for n in COLUMNS}
             for s in set(names):
                 at = np.flatnonzero(source == s)
-                for n, x in schedule.place(s, rank[at]).items():
+                for n, x in schedule.value.place(s, rank[at]).items():
                     out[n][at] = x
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([share[s] for s in names], pa.float64()), *(pa.array(out[n], pa.int64()) for n in COLUMNS), *b.columns[3:]],
