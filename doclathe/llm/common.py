@@ -43,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return _own_dir(spark.sparkContext.applicationId)
 
 
@@ -77,13 +79,14 @@ def drop_scratch() -> None:
 atexit.register(drop_scratch)
 
 
-#: Columns of keyed().
+#: Columns of keyed(); tables have no columns of these names.
 KEY = ["_doclathe_file", "_doclathe_row"]
 
 
 def keyed(df: DataFrame) -> DataFrame:
     """Adds what tells all rows apart, however equal they are, and is the same whenever ``df`` is read: the file
-    and the row's place in it.  Files of a frame that Spark wrote sort in the order of its partitions by ``part``.  A frame that isn't read from files is written first."""
+    and the row's place in it.  Files of a frame that Spark wrote sort in the order of its partitions by ``part``.
+    A frame that isn't read from files is written first."""
     try:
         return df.select("*", F.col("_metadata.file_path").alias(KEY[0]), F.col("_metadata.row_index").alias(KEY[1]))
     except AnalysisException:
@@ -100,6 +103,6 @@ def small(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def crc_mod(col: str, n: int):
-    """crc32 of a number written as text, modulo n; null ids count as the empty text."""
-    return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
+def held_out(col: str, n: int, remainder: int):
+    """Whether crc32 of a number written as text has that remainder modulo n; never for null ids."""
+    return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % n == remainder, F.lit(False))

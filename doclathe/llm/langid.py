@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclathe.llm.common import crc_mod, ship, table
+from doclathe.llm.common import held_out as is_held_out
+from doclathe.llm.common import ship, table
 
 TRAIN_DOCS = 400
 SAMPLE_DOCS = 40_000
@@ -182,7 +183,7 @@ class Model:
 def train(docs: DataFrame, docs_per_lang: int = TRAIN_DOCS, held_out: tuple[int, int] = (4, 2)) -> Model:
     """Learn from text and language of rows whose crc32(doc_id) modulo held_out[0] isn't held_out[1]."""
     able = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    able = able.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", held_out[0]) != held_out[1]) & (F.octet_length("text") <= TRAIN_BYTES))
+    able = able.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out("doc_id", *held_out) & (F.octet_length("text") <= TRAIN_BYTES))
     counts = able.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()
     if len(counts) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} different languages")
@@ -217,7 +218,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
             cols = [pa.array(c, t) for c, t in zip(list(zip(*found))[:3] if found else ((), (), ()), (pa.string(), pa.float64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], schema=_ARROW)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", 4) == 2).alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out("doc_id", 4, 2).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(batches, "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
 
 

@@ -21,6 +21,8 @@ SHARDS = 40
 SEED = 20240607
 #: Bytes counted for each document beside its text.
 OVERHEAD = 16
+#: Columns that deal() adds; columns of documents by these names give way.
+MADE = ("size", "text_crc32", "law", "shard", "slot")
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -53,6 +55,7 @@ def deal(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     source's rows are dealt to the shards in turn, and the next source goes on where the one before ended: a
     shard has its share of every source to within a row, and shard sizes differ by one row at most (the law
     ``rows``).  Slots follow the mixed order, so each shard is the mix in small, with the mix's weights along it."""
+    docs = docs.drop(*MADE)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = keyed(docs)
     order = ["_part", *KEY]
@@ -60,12 +63,12 @@ def deal(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     dealt = rank_rows(slim, ["source", *order]).select((F.col("rank") % shards).cast("int").alias("shard"), *order)
     placed = rank_rows(dealt, order, "shard").select(*KEY, "shard", F.col("rank").alias("slot"))
     sized = rows.withColumns({"size": (F.octet_length(text) + OVERHEAD).cast("long"), "text_crc32": F.crc32(text.cast("binary")), "law": F.lit("rows")})
-    return sized.join(placed, KEY).select(*docs.columns, "size", "text_crc32", "law", "shard", "slot")
+    return sized.join(placed, KEY).select(*docs.columns, *MADE)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> None:
     """Write the documents to ``path``/shard=K/, in slot order.  doc_id must tell documents apart."""
-    placed = docs.join(assign(docs, shards, seed).select("doc_id", "shard", "slot"), "doc_id")
+    placed = docs.drop("shard", "slot").join(assign(docs, shards, seed).select("doc_id", "shard", "slot"), "doc_id")
     placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
 
 

@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclathe.llm.common import crc_mod, ship, table
+from doclathe.llm.common import held_out as is_held_out
+from doclathe.llm.common import ship, table
 
 TRAIN_DOCS = 800
 TRAIN_BYTES = 12_000
@@ -257,7 +258,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
 def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = TRAIN_DOCS, held_out: tuple[int, int] = (5, 0)) -> Model | None:
     """None if there are no labels of both classes."""
     marks = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).filter("_id is not null and _toxic is not null")
-    marks = marks.filter(crc_mod("_id", held_out[0]) != held_out[1]).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
+    marks = marks.filter(~is_held_out("_id", *held_out)).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     counts = {r["_toxic"]: r["n"] for r in marks.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):
         return None
@@ -265,10 +266,10 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = TRAIN_DOCS,
     chance = {c: min(million, -(-docs_per_class * million // n)) for c, n in counts.items()}
     draw = F.pmod(F.xxhash64("_id", F.lit("toxicity sample")), F.lit(million))
     picked = marks.filter(draw < F.when(F.col("_toxic") == 1, chance[1]).otherwise(chance[0]))
-    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
     # About 2 * docs_per_class ids: as bounded as that parameter.
-    sample = docs.filter(text.isNotNull() & (F.octet_length(text) <= TRAIN_BYTES)).join(F.broadcast(picked), F.col("doc_id").cast("long") == F.col("_id"))
-    rows = sorted(tuple(r) for r in sample.select("_id", "_toxic", text.alias("_text")).distinct().collect())
+    sample = texts.filter(F.col("_text").isNotNull() & (F.octet_length("_text") <= TRAIN_BYTES)).join(F.broadcast(picked), "_id")
+    rows = sorted(tuple(r) for r in sample.select("_id", "_toxic", "_text").distinct().collect())
     toxic = np.array([bool(r[1]) for r in rows])
     if not len(rows) or toxic.all() or not toxic.any():
         return None
@@ -315,7 +316,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 schema=_ARROW,
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", 5) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out("doc_id", 5, 0).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(batches, "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:long,end:long>>")
 
 

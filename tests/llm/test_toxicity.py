@@ -54,12 +54,13 @@ def test_spans_where_lower_case_is_longer():
 def test_cases(spark):
     bad, good = "you idiot trash moron", "the quiet river runs past"
     docs = [(i, " ".join(f"{w} {i * 7 + k}" for k, w in enumerate((bad if i % 3 == 0 else good).split())), "x") for i in range(60)] + [(100, None, "x"), (101, "", None), (101, "", None), (None, "a " * 100000, "x")]
-    df = spark.createDataFrame(docs, "doc_id long, text string, score string")
+    df = spark.createDataFrame(docs, "doc_id long, text string, _id string")
     labels = spark.createDataFrame([(i, int(i % 3 == 0), "y") for i in range(60)] + [(None, 1, "y"), (0, 1, "y"), (5, None, "y")], "doc_id long, toxic int, text string")
     rows = toxicity.score(df, toxicity.train(df, labels)).collect()
     assert len(rows) == 64 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     assert all(r.predicted == (r.doc_id % 3 == 0) for r in rows if r.doc_id is not None and r.doc_id < 60)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows if r.doc_id is not None)
+    assert not any(r.held_out for r in rows if r.doc_id is None)
     assert {r.predicted for r in rows if r.doc_id in (100, 101, None)} == {0}
     assert toxicity.train(df, labels.filter("toxic = 0")) is None
     assert {r.score for r in toxicity.score(df, None).collect()} == {0.0}
