@@ -1,19 +1,21 @@
 """Toxic spans and scores by a linear-chain conditional random field.
 
-Labels mark documents, so token labels are derived: words and word prefixes that are far more frequent
-in documents labelled toxic than in the others are features, and a token of a toxic document with such a
-feature is a toxic token.  A chain of two states (clean, toxic) is fitted to those tokens by gradient
-ascent on its regularised likelihood; forward-backward gives the probability of each token of being
-toxic.  A document's score is a logistic regression, fitted on the labels, on the sum, the density and
-the maximum of those marginals.  Runs of tokens with a marginal of 1/2 or more are the offending spans.
+A chain of two states (clean, toxic) runs over the tokens of a document.  Its features are words, their
+beginnings and ends.  Labels mark documents, so the tokens' labels are hidden: all tokens of a clean document
+are clean, and at least one token of a toxic one is toxic.  The likelihood of just that is raised by gradient
+ascent: a clean document asks for P(all clean), a toxic one for 1 - P(all clean).  Forward-backward gives the
+probability of each token of being toxic, and P(all clean) as a product of conditional probabilities along the
+chain.  A document's score is a logistic regression, fitted on the labels, on the odds of P(all clean), the
+sum and the density of the tokens' certainties, and the largest marginal.  Runs of tokens with a marginal of
+1/2 or more are the offending spans.
 
 Forward-backward runs over all tokens of a batch at once: the tokens are laid out as rows, the 2 x 2
 transfer matrices of each row are multiplied up for all rows together, and the rows' messages are then
 carried from one to the next; a document's first token forgets what came before.
 
 Labels are learned from a bounded sample, about ``TRAIN_DOCS`` labelled documents of each class, chosen
-by a hash of the id, outside the held-out ids, of at most ``TRAIN_BYTES`` bytes.  Features and weights are
-at most ``FEATURES``.
+by a hash of the id, outside the held-out ids, of at most ``TRAIN_BYTES`` bytes.  Of its features those in
+at least ``LEAST_DOCS`` different texts count, the ``FEATURES`` most frequent ones of toxic documents at most.
 
 Defined cases: null and empty texts have no tokens and the score of a document without marginals;
 without labels of both classes all scores are 0; a null id is never held out; a document labelled twice
@@ -36,20 +38,19 @@ from doclathe.llm.common import ship, table
 
 TRAIN_DOCS = 800
 TRAIN_BYTES = 12_000
-FEATURES = 4000
-#: A feature stands in at least so many toxic documents, and so many times likelier there.
-LEAST_DOCS = 6
-LEAST_RATIO = 8.0
-PREFIXES = (3, 4, 5, 6, 7, 8)
+FEATURES = 40_000
+LEAST_DOCS = 8
+ENDS = (4, 6)
+#: Weights are held near zero by this much, and no toxic document pulls at its tokens more than so many clean ones
+#: push: documents that are labelled toxic without a reason in their words must not make one up.
+RIDGE, PULL = 0.3, 2.0
 #: Emissions cached by word in each worker.
 CACHE = 200_000
-#: Marginals below this don't count towards a document's sum: a long clean text has very many of them.
-NOISE = 0.1
 _TOKEN = re.compile(r"\w+")
 
 
 def features(word: str) -> list[str]:
-    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
+    return [word, *(word[:k] + "*" for k in ENDS if len(word) > k), *("*" + word[-k:] for k in ENDS if len(word) > k)]
 
 
 def text_key(words: list[str]) -> int:
@@ -116,6 +117,13 @@ class Chain:
         f0, f1, b0, b1, _ = self.messages(emission, first)
         return f1 * b1 / (f0 * b0 + f1 * b1)
 
+    def stay_clean(self, b0: np.ndarray, b1: np.ndarray, e: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Logarithm of the probability of each token of being clean, given that the one before is and the text.
+        Their sum over a document is that of P(all clean)."""
+        t, s = np.exp(self.step), np.exp(self.start - self.start.max())
+        to0, to1 = np.where(first, s[0], t[0, 0]) * b0, np.where(first, s[1], t[0, 1]) * e * b1
+        return -np.log1p(to1 / to0)
+
 
 class Model:
     def __init__(self, weights: dict[str, float], bias: float, chain: Chain, fit: np.ndarray):
@@ -129,10 +137,17 @@ class Model:
         out = np.empty(len(words))
         for i, x in enumerate(map(known.get, words)):
             if x is None:
-                x = known[words[i]] = bias + sum(w.get(f, 0.0) for f in features(words[i][:64]))
+                x = known[words[i]] = bias + sum(w.get(f, 0.0) for f in features(words[i]))
             out[i] = x
         return out
 
+    def infer(self, emission: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Marginals, and stay_clean(), of all tokens."""
+        if not len(emission):
+            return np.zeros(0), np.zeros(0)
+        f0, f1, b0, b1, e = self.chain.messages(emission, first)
+        return f1 * b1 / (f0 * b0 + f1 * b1), self.chain.stay_clean(b0, b1, e, first)
+
     def score_batch(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, int]]]]:
         """Score and offending spans (code points) of each text."""
         lists = [_TOKEN.findall(t.lower()) if t else [] for t in texts]
@@ -142,10 +157,10 @@ class Model:
         emission = np.concatenate([self.emission(x) for x in lists]) if lists else np.zeros(0)
         first = np.zeros(len(emission), bool)
         first[starts[sizes > 0]] = True
-        p = self.chain.marginals(emission, first)
+        p, clean = self.infer(emission, first)
         for t, a, n in zip(texts, starts, sizes):
             own = p[a : a + n]
-            z = float(document_features(own) @ self.fit)
+            z = float(document_features(own, float(clean[a : a + n].sum())) @ self.fit)
             spans: list[tuple[int, int]] = []
             if n and own.max() >= 0.5:
                 low = t.lower()
@@ -168,75 +183,79 @@ def _spans(text: str) -> list[tuple[int, int]]:
     return [(source[m.start()], source[m.end() - 1] + 1) for m in _TOKEN.finditer(low)]
 
 
-def document_features(p: np.ndarray) -> np.ndarray:
-    total = float(p[p >= NOISE].sum())
-    return np.array([1.0, np.log1p(total), np.log((total + 0.05) / (len(p) + 10)), float(p.max(initial=0.0))])
+def document_features(p: np.ndarray, all_clean: float) -> np.ndarray:
+    """all_clean: the logarithm of P(all clean)."""
+    sure = float((p * p).sum())
+    odds = np.log(max(-np.expm1(min(all_clean, 0.0)), 1e-12)) - max(all_clean, -30.0)
+    return np.array([1.0, np.log1p(sure), np.log((sure + 0.05) / (len(p) + 10)), float(p.max(initial=0.0)), odds / 10])
 
 
 def fit_model(texts: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int = 60) -> Model:
     """weight: how many documents each stands for, so that scores follow the labels' own frequency."""
     words = [_TOKEN.findall(t.lower()) for t in texts]
-    seen, groups = [Counter(), Counter()], [set(), set()]
+    seen, groups = [Counter(), Counter()], set()
     for w, y in zip(words, toxic):
-        if (key := text_key(w)) not in groups[int(y)]:  # copies of one text say one thing
-            groups[int(y)].add(key)
-            seen[int(y)].update({f for x in set(w) for f in features(x[:64])})
-    n = np.array([len(groups[0]), len(groups[1])], float)
-    ratio = {f: (c / n[1]) / ((seen[0][f] + 0.5) / n[0]) for f, c in seen[1].items() if c >= LEAST_DOCS}
-    strong = {f: r for f, r in ratio.items() if r >= LEAST_RATIO}
-    chosen = sorted(strong, key=lambda f: (-seen[1][f] * np.log(strong[f]), f))[:FEATURES]
+        if (key := (bool(y), text_key(w))) not in groups:  # copies of one text say one thing
+            groups.add(key)
+            seen[int(y)].update({f for x in set(w) for f in features(x)})
+    able = [f for f in seen[0] | seen[1] if seen[0][f] + seen[1][f] >= LEAST_DOCS]
+    chosen = sorted(able, key=lambda f: (-seen[1][f], -seen[0][f], f))[:FEATURES]
+    d = len(chosen)
     number = {f: i for i, f in enumerate(chosen)}
-    ids: dict[str, list[int]] = {}
-    token, feature, labels, first, at = [], [], [], [], 0
-    for w, y in zip(words, toxic):
-        for i, x in enumerate(w):
-            if x not in ids:
-                ids[x] = [number[f] for f in features(x[:64]) if f in number]
-            token += [at] * len(ids[x])
-            feature += ids[x]
-            labels.append(bool(y) and bool(ids[x]))
-            first.append(i == 0)
-            at += 1
-    token, feature, y, first = np.array(token, np.int64), np.array(feature, np.int64), np.array(labels, float), np.array(first, bool)
-    theta = np.zeros(len(chosen) + 1 + 2 + 4)  # features, bias, start, transitions
-    theta[len(chosen)] = -3.0
+    ids: dict[str, int] = {}
+    for w in words:
+        for x in w:
+            ids.setdefault(x, len(ids))
+    # Emissions are worked out by word: features of word i are feature[of == i].
+    pairs = [(i, number[f]) for x, i in ids.items() for f in features(x) if f in number]
+    of, feature = (np.array(c, np.int64) for c in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+    token = np.array([ids[x] for w in words for x in w], np.int64)
+    sizes = np.array([len(w) for w in words])
+    doc = np.repeat(np.arange(len(words)), sizes)
+    first = np.r_[True, doc[1:] != doc[:-1]] if len(doc) else np.zeros(0, bool)
+    pair = ~first[1:]
+    # Copies share one document's say.
+    keys = [(bool(y), text_key(w)) for w, y in zip(words, toxic)]
+    copies = Counter(keys)
+    share = np.array([1 / copies[k] for k in keys])
+    theta = np.zeros(d + 1 + 2 + 4)  # features, bias, start, transitions
+    theta[d] = -6.0
     moment, square = np.zeros_like(theta), np.zeros_like(theta)
-    d = len(chosen)
 
     def parts(x):
         return x[:d], x[d], Chain(np.array([0.0, x[d + 1]]), x[d + 3 :].reshape(2, 2) * np.array([[0, 1], [0, 1]]))
 
-    empirical = np.zeros((2, 2))
-    pair = ~first[1:]
-    for i in (0, 1):
-        for j in (0, 1):
-            empirical[i, j] = ((y[:-1] == i) & (y[1:] == j) & pair).sum()
-    for r in range(rounds if len(y) else 0):
+    def emissions(w, bias):
+        return (bias + np.bincount(of, w[feature], minlength=len(ids)))[token]
+
+    for r in range(rounds if len(token) else 0):
         w, bias, chain = parts(theta)
-        emission = np.full(len(y), bias) + np.bincount(token, w[feature], minlength=len(y))
-        f0, f1, b0, b1, e = chain.messages(emission, first)
+        f0, f1, b0, b1, e = chain.messages(emissions(w, bias), first)
         p = f1 * b1 / (f0 * b0 + f1 * b1)
+        clean = np.bincount(doc, chain.stay_clean(b0, b1, e, first), minlength=len(words))
+        # The gradient of either class is a multiple of the expected features, as the all-clean path has none.
+        pull = np.where(toxic, np.exp(np.maximum(clean, -30)) / np.maximum(-np.expm1(clean), 1e-12), -1.0) * share
+        pull = np.minimum(pull, PULL)
+        each = pull[doc]
         t = np.exp(chain.step)
         x = [[f[:-1] * t[i, j] * (e[1:] if j else 1.0) * b[1:] for j, b in enumerate((b0, b1))] for i, f in enumerate((f0, f1))]
         z = x[0][0] + x[0][1] + x[1][0] + x[1][1]
-        gap = y - p
         grad = np.zeros_like(theta)
-        grad[:d] = np.bincount(feature, gap[token], minlength=d) - 0.5 * w
-        grad[d] = gap.sum()
-        grad[d + 1] = gap[first].sum()
-        step = np.array([[empirical[i, j] - (x[i][j] / z)[pair].sum() for j in (0, 1)] for i in (0, 1)])
+        expected = each * p
+        grad[:d] = np.bincount(feature, np.bincount(token, expected, minlength=len(ids))[of], minlength=d) - RIDGE * w
+        grad[d] = expected.sum()
+        grad[d + 1] = expected[first].sum() - 0.01 * theta[d + 1]
+        step = np.array([[(x[i][j] / z * each[1:])[pair].sum() for j in (0, 1)] for i in (0, 1)])
         grad[d + 3 :] = (step * np.array([[0, 1], [0, 1]])).ravel() - 0.01 * theta[d + 3 :]
         moment = 0.9 * moment + 0.1 * grad
         square = 0.99 * square + 0.01 * grad**2
         rate = 0.15 * min(1.0, 2.0 * (1 - r / rounds))
         theta = theta + rate * (moment / (1 - 0.9 ** (r + 1))) / (np.sqrt(square / (1 - 0.99 ** (r + 1))) + 1e-8)
     w, bias, chain = parts(theta)
-    model = Model({f: float(w[i]) for f, i in number.items()}, float(bias), chain, np.zeros(4))
-    emission = np.full(len(y), bias) + np.bincount(token, w[feature], minlength=len(y)) if len(y) else np.zeros(0)
-    p = chain.marginals(emission, first)
-    sizes = np.array([len(x) for x in words])
+    model = Model({f: float(w[i]) for f, i in number.items() if w[i]}, float(bias), chain, np.zeros(5))
+    p, clean = model.infer(emissions(w, bias), first)
     ends = np.cumsum(sizes)
-    rows = np.array([document_features(p[e - s : e]) for s, e in zip(sizes, ends)])
+    rows = np.array([document_features(p[e - s : e], float(clean[e - s : e].sum())) for s, e in zip(sizes, ends)])
     model.fit = logistic(rows, toxic.astype(float), weight)
     return model
 

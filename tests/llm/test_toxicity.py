@@ -1,4 +1,6 @@
 import itertools
+import math
+import re
 import zlib
 
 import duckdb
@@ -28,6 +30,34 @@ def test_marginals_against_all_paths():
         at += n
 
 
+def test_whole_query_against_all_paths(spark):
+    """Scores and spans of a table, by summing over all taggings of each document."""
+    chain = toxicity.Chain(np.array([0.0, -1.0]), np.array([[0.0, -2.0], [0.0, 0.7]]))
+    weights = {"bad": 3.0, "awfu*": 2.0, "*fulish": 1.5, "fine": -2.0}
+    model = toxicity.Model(weights, -1.5, chain, np.array([-1.0, 0.5, 0.2, 1.5, 3.0]))
+    rng = np.random.default_rng(2)
+    words = ["bad", "awfully", "Awfulish", "fine", "other", "x" * 80, "é"]
+    docs = [(i, ", ".join(rng.choice(words, int(rng.integers(0, 11))))) for i in range(60)] + [(None, "Bad bad"), (60, None)]
+    rows = toxicity.score(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()
+    assert len(rows) == len(docs)
+    text = dict(docs)
+    for r in rows:
+        tokens = [(m[0].lower(), m.span()) for m in re.finditer(r"\w+", text[r.doc_id] or "")]
+        e = [-1.5 + sum(w for f, w in weights.items() if f == x or (f[-1] == "*" and len(x) > 4 and x[:4] == f[:-1]) or (f[0] == "*" and len(x) > 6 and x[-6:] == f[1:])) for x, _ in tokens]
+        total = clean = 0.0
+        on = np.zeros(len(e))
+        for path in itertools.product((0, 1), repeat=len(e)):
+            w = np.exp(chain.start[path[0]] + sum(chain.step[a, b] for a, b in zip(path, path[1:])) + sum(x for x, s in zip(e, path) if s)) if path else 1.0
+            total, clean, on = total + w, clean + w * (not any(path)), on + w * np.array(path)
+        p, a = on / total, clean / total
+        sure = (p * p).sum()
+        z = [1.0, math.log1p(sure), math.log((sure + 0.05) / (len(p) + 10)), max([0.0, *p]), math.log(max((1 - a) / a, 1e-12)) / 10] @ model.fit
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-6 and r.predicted == (r.score >= 0.5)
+        marked = {i for s in r.spans for i in range(s.start, s.end)}
+        assert {i for (_, (x, y)), q in zip(tokens, p) if q >= 0.5 for i in range(x, y)} <= marked
+        assert not marked & {i for (_, (x, y)), q in zip(tokens, p) if q < 0.5 for i in range(x, y)}
+
+
 def test_held_out_documents():
     c = duckdb.connect()
     text = dict(c.sql(f"select doc_id, text from '{SF}/documents.parquet' order by doc_id").fetchall())
