@@ -104,8 +104,11 @@ _BRACKET_AT = r"\s*[\[({<]\s*(?:at|@|arroba|arobase)\s*[\])}>]\s*"
 _BRACKET_DOT = r"\s*[\[({<]\s*(?:dot|\.|punto|point|punkt)\s*[\])}>]\s*"
 _BRACKETS = re.compile(rf"(?i)(?P<at>{_BRACKET_AT})|(?P<dot>{_BRACKET_DOT})")
 _BRACKET_TRIGGER = re.compile(r"(?i)[\[({<]\s*(?:at|@|arroba|arobase|dot|\.|punto|point|punkt)\s*[\])}>]")
-#: name at host dot tld: both words must be there.
-_WORDY = re.compile(r"(?i)(?<![\w.+%-])[a-z0-9._%+-]+(?: dot [a-z0-9_%+-]+)*(?P<at>\s+at\s+|@)[a-z0-9-]+(?:\.[a-z0-9-]+)*(?P<dots>(?: +dot +[a-z0-9-]+)+)")
+#: name at host dot tld, where either word may be a sign.
+_WORDY = re.compile(r"(?i)(?<![\w.+%-])[a-z0-9._%+-]+(?:[ ]dot[ ][a-z0-9_%+-]+)*(?:\s+at\s+|@)[a-z0-9-]+(?:(?:[ ]+dot[ ]+|\.)[a-z0-9-]+)+")
+_WORDY_SIGN = re.compile(r"(?i)\s+at\s+|\s+dot\s+")
+#: Endings that tell "name at host.com" from "look at this.Then".
+ENDINGS = frozenset("com org net edu gov mil int info biz io co ai app dev me tv us uk ca au nz ie eu de at ch fr be nl es pt it se no dk fi pl cz ru ua tr br mx ar cl in jp cn kr".split())
 _OPENING = re.compile(r"[\[({<]")
 
 
@@ -126,54 +129,55 @@ def _spelled_pair(low: str) -> bool:
 class Mapped:
     """A text with the source span of each piece that was rewritten; pieces between them are as they were."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, pieces: list[tuple[int, int, int, int]] = ()):
         self.text = text
-        self.pieces: list[tuple[int, int, int, int]] = []  # start and end here, start and end in the source
-
-    def source(self, start: int, end: int) -> tuple[int, int, bool]:
-        """The source span of [start, end), and whether it holds something rewritten."""
-        starts = [p[0] for p in self.pieces]
-
-        def back(at: int, is_end: bool) -> int:
-            i = bisect_right(starts, at - is_end) - 1
-            if i < 0:
-                return at
-            a, b, c, d = self.pieces[i]
-            if at - is_end < b:
-                return d if is_end else c
-            return d + at - b
+        self.pieces = list(pieces)  # start and end here, start and end in the source; in order
+        self.starts = [p[0] for p in self.pieces]
+
+    def _back(self, at: int, is_end: bool) -> int:
+        i = bisect_right(self.starts, at - is_end) - 1
+        if i < 0:
+            return at
+        a, b, c, d = self.pieces[i]
+        if at - is_end < b:
+            return d if is_end else c
+        return d + at - b
+
+    def touched(self, start: int, end: int) -> bool:
+        """Whether [start, end) holds something rewritten, if only a character that went."""
+        i = max(0, bisect_right(self.starts, start) - 1)
+        while i < len(self.pieces) and self.pieces[i][0] < end:
+            a, b, *_ = self.pieces[i]
+            if b > start if a < b else a > start:
+                return True
+            i += 1
+        return False
 
-        touched = any(a < end and b > start or a == b and start < a < end for a, b, _, _ in self.pieces[max(0, bisect_right(starts, start) - 1) : bisect_right(starts, end)])
-        return back(start, False), back(end, True), touched
+    def source(self, start: int, end: int) -> tuple[int, int]:
+        """The source span of [start, end)."""
+        return self._back(start, False), self._back(end, True)
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> Mapped:
         """edits: (start, end, new text), in order and apart from each other, in this text."""
         if not edits:
             return self
         out, made, at, shift = [], [], 0, 0
-        cuts = [(a, b, "edit", new) for a, b, new in edits]
-        old = [p for p in self.pieces if not any(a < p[1] and p[0] < b or a <= p[0] and p[1] <= b for a, b, _ in edits)] if len(edits) * len(self.pieces) < 1 << 20 else self._apart(edits)
-        for a, b, kind, x in sorted(cuts + [(p[0], p[1], "old", p) for p in old], key=lambda c: (c[0], c[1])):
-            if kind == "old":
-                made.append((a + shift, b + shift, x[2], x[3]))
-            else:
-                out += [self.text[at:a], x]
-                s, e, _ = self.source(a, b)
-                made.append((a + shift, a + shift + len(x), s, e))
-                shift += len(x) - (b - a)
-                at = b
-        new = Mapped("".join([*out, self.text[at:]]))
-        new.pieces = made
-        return new
-
-    def _apart(self, edits):
-        starts = [a for a, _, _ in edits]
-        keep = []
-        for p in self.pieces:
-            i = max(0, bisect_right(starts, p[0]) - 1)
-            if not any(a < p[1] and p[0] < b or a <= p[0] and p[1] <= b for a, b, _ in edits[i : i + 3]):
-                keep.append(p)
-        return keep
+        left = self.pieces[::-1]
+        for a, b, new in edits:
+            # Older pieces before the edit move; what it covers of them goes, as it has their source.
+            while left and (left[-1][0] < b or left[-1][1] <= b):
+                c, d, *of = left.pop()
+                if c < a or c == d < a:
+                    made.append((c + shift, min(d, a) + shift, *of))
+                if d > b:
+                    left.append((max(c, b), d, *of))
+                    break
+            out += [self.text[at:a], new]
+            made.append((a + shift, a + shift + len(new), *self.source(a, b)))
+            shift += len(new) - (b - a)
+            at = b
+        made += [(c + shift, d + shift, *of) for c, d, *of in left[::-1]]
+        return Mapped("".join([*out, self.text[at:]]), made)
 
 
 def _plain(c: str) -> str:
@@ -192,11 +196,13 @@ def disguised(text: str) -> Mapped | None:
     if _OPENING.search(m.text) and _BRACKET_TRIGGER.search(m.text):
         m = m.rewrite([(x.start(), x.end(), "@" if x.lastgroup == "at" else ".") for x in _BRACKETS.finditer(m.text)])
     low = m.text.lower()
-    if " dot " in low:
+    if " dot " in low or (" at " in low and "." in low) or m.pieces:
         edits = []
         for x in _WORDY.finditer(m.text):
-            for w in re.finditer(r"(?i)\s+at\s+|\s+dot\s+", x[0]):
-                edits.append((x.start() + w.start(), x.start() + w.end(), "@" if "a" in w[0].lower() else "."))
+            signs = [(x.start() + w.start(), x.start() + w.end(), "@" if "a" in w[0].lower() else ".") for w in _WORDY_SIGN.finditer(x[0])]
+            dotted = any(new == "." for *_, new in signs) or m.touched(x.start(), x.end())
+            if dotted or x[0].rsplit(".", 1)[-1].lower() in ENDINGS:
+                edits += signs
         m = m.rewrite(edits)
     if _spelled_pair(low) and _SPELLED_TRIGGER.search(m.text):
         edits = []
@@ -219,8 +225,8 @@ def find(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str,
         for k, f in DETECT.items():
             more = []
             for a, b in f(m.text):
-                s, e, touched = m.source(a, b)
-                if touched and not any(s < d and c < e for c, d in base[k]):
+                s, e = m.source(a, b)
+                if m.touched(a, b) and not any(s < d and c < e for c, d in base[k]):
                     more.append((s, e))
             spans[k] = sorted({*base[k], *more})
     return base, spans

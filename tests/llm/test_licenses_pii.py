@@ -159,6 +159,8 @@ def test_base_spans_against_plain_patterns(spark):
         ("call plus one two oh two five five five oh one four three!", "phone", "plus one two oh two five five five oh one four three"),
         ("card four one one one 1111 1111 1111 x", "card", "four one one one 1111 1111 1111"),
         ("at 10[.]0[.]0[.]7 there", "ip", "10[.]0[.]0[.]7"),
+        ("so jane at example.com wrote", "email", "jane at example.com"),
+        ("so jane at example [dot] test wrote", "email", "jane at example [dot] test"),
         ("a @ b, me​@exam​ple.com", "email", "me​@exam​ple.com"),
     ],
 )
@@ -170,6 +172,76 @@ def test_disguises_map_back_to_the_source(text, kind, part):
         assert set(base[k]) <= set(spans[k])
 
 
+def test_rewrites_keep_every_character_s_source():
+    """Chains of edits against one source span for each character."""
+    rng = random.Random(9)
+    for _ in range(300):
+        n = rng.randint(0, 30)
+        m, slow = pii.Mapped("".join(rng.choice("ab ") for _ in range(n))), [(i, i + 1, False) for i in range(n)]
+        for _ in range(rng.randint(1, 4)):
+            edits, at = [], 0
+            while at < len(m.text):
+                a = at + rng.randint(0, 4)
+                b = a + rng.randint(1, 3)
+                if b > len(m.text):
+                    break
+                edits.append((a, b, rng.choice(["", "x", "yz"])))
+                at = b + rng.randint(0, 2)
+            new, last = [], 0
+            for a, b, x in edits:
+                new += slow[last:a] + [(slow[a][0], slow[b - 1][1], True)] * len(x)
+                last = b
+            if any(not x for *_, x in edits):  # what goes leaves no character; its neighbours are compared below
+                new = None
+            text = "".join(p for i, (a, b, x) in enumerate(edits) for p in (m.text[edits[i - 1][1] if i else 0 : a], x)) + m.text[edits[-1][1] if edits else 0 :]
+            m = m.rewrite(edits)
+            assert m.text == text
+            if new is None:
+                break
+            slow = new + slow[last:]
+            for i, (a, b, touched) in enumerate(slow):
+                assert m.touched(i, i + 1) == touched
+                assert m.source(i, i + 1) == (a, b)
+
+
+def test_planted_disguises_and_nothing_else():
+    """Random identifiers, plain or disguised, between ordinary words: exactly their spans come back."""
+    rng = random.Random(10)
+    names = {v: k for k, v in reversed(pii.SPELLED.items()) if k.isascii()}
+    wide = lambda s: "".join(chr(ord(c) + 0xFEE0) if c.isascii() and c.isalnum() and rng.random() < 0.5 else c for c in s)
+    like = {v: k for k, v in pii.LOOKALIKES.items()}
+
+    def email():
+        user, host, top = rng.choice(["jane", "j.doe", "x_1"]), rng.choice(["example", "mail-host"]), rng.choice(["com", "org"])
+        return rng.choice([f"{user}@{host}.{top}", f"{user} [at] {host} [dot] {top}", f"{user}(at){host}.{top}", f"{user} at {host} dot {top}", f"{user} at {host}.{top}", f"{user}@{host} dot {top}", wide(f"{user}@{host}.{top}"), f"{user}@{host}.{top}".replace("e", like["e"]), f"{user}@{host[:3]}\u200b{host[3:]}.{top}"])
+
+    def phone():
+        digits = "".join(rng.choice("123456789") for _ in range(11))
+        return rng.choice([f"+{digits}", f"+{digits[:1]} ({digits[1:4]}) {digits[4:]}", wide(f"+{digits}"), "plus " + " ".join(names[d] for d in digits)])
+
+    def ip():
+        parts = [str(rng.randint(0, 255)) for _ in range(4)]
+        return rng.choice([".".join(parts), "[.]".join(parts), " (dot) ".join(parts), wide(".".join(parts))])
+
+    fill = "river stone quiet garden walks toward morning light".split()
+    for _ in range(1500):
+        text, want = "", {k: [] for k in pii.KINDS}
+        for _ in range(rng.randint(0, 4)):
+            text += " ".join(rng.choices(fill, k=rng.randint(2, 6))) + rng.choice([", ", "; ", "\n", " é: "])
+            kind, made = rng.choice([("email", email), ("phone", phone), ("ip", ip)])
+            part = made()
+            want[kind].append((len(text), len(text) + len(part)))
+            text += part + rng.choice([", ", "; ", "! "])
+        assert pii.find(text)[1] == want, text
+    for text in ("look at this.Then go", "we met at noon", "one two three", "the dot at the end."):
+        assert not any(pii.find(text)[1].values())
+
+
+def test_many_disguises_in_one_text():
+    text = "me [at] exam\u200bple [dot] com, " * 20000
+    assert len(pii.find(text)[1]["email"]) == 20000
+
+
 def test_pii_rows(spark):
     rows = pii.identifiers(spark.createDataFrame(CASES, "doc_id long, text string, n_ip string")).collect()
     assert sorted(r.n_email for r in rows) == [0, 0, 0, 0, 3000]
