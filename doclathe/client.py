@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 from doclathe.collection import Collection
 from doclathe.object_id import ObjectId
+from doclathe.operators.stages import STAGES
 from doclathe.plans.cursor import Cursor
 from doclathe.sources import catalog
 
@@ -76,7 +77,7 @@ class FindCursor:
 
     def has_next(self) -> bool:
         if self._rows is None:
-            self._rows = iter(self._cursor().to_list())
+            self._rows = iter(self._cursor())
         if not self._peeked:
             self._peeked = [d for d in [next(self._rows, None)] if d is not None]
         return bool(self._peeked)
@@ -108,6 +109,64 @@ class FindCursor:
         self._rows = iter(())
 
 
+class AggregationCursor:
+    """A pipeline that grows by its methods until it is read."""
+
+    def __init__(self, collection: Collection, stages: list[dict], options: dict | None = None):
+        self._collection, self._stages, self._options = collection, stages, options or {}
+        self._found: FindCursor | None = None
+
+    def _add(self, stage: str, operand) -> AggregationCursor:
+        if self._found is not None:
+            raise ValueError("the cursor has been read")
+        self._stages = [*self._stages, {stage: operand}]
+        return self
+
+    def __getattr__(self, name: str):
+        first, *rest = name.split("_")
+        stage = "$" + first + "".join(map(str.title, rest))
+        if name.startswith("_") or stage not in STAGES:
+            raise AttributeError(name)
+        return lambda operand: self._add(stage, operand)
+
+    def _cursor(self) -> FindCursor:
+        if self._found is None:
+            frame = self._collection.aggregate(self._stages, **self._options)
+            self._found = FindCursor(lambda: Cursor(frame))
+        return self._found
+
+    def has_next(self) -> bool:
+        return self._cursor().has_next()
+
+    def next(self):
+        return self._cursor().next()
+
+    def __iter__(self) -> Iterator:
+        return iter(self._cursor())
+
+    def to_list(self) -> list:
+        return self._cursor().to_list()
+
+    def for_each(self, f) -> None:
+        self._cursor().for_each(f)
+
+    def map(self, f) -> FindCursor:
+        return self._cursor().map(f)
+
+    def rewind(self) -> AggregationCursor:
+        self._cursor().rewind()
+        return self
+
+    def clone(self) -> AggregationCursor:
+        return AggregationCursor(self._collection, self._stages, self._options)
+
+    def explain(self) -> dict:
+        return self._cursor().explain()
+
+    def close(self) -> None:
+        self._cursor().close()
+
+
 class ClientCollection:
     """A collection's methods; inserted documents without an _id get an ObjectId."""
 
@@ -127,9 +186,8 @@ class ClientCollection:
     def find(self, query=None, projection=None) -> FindCursor:
         return FindCursor(lambda: self._inner.find(query, projection))
 
-    def aggregate(self, stages, **options) -> FindCursor:
-        frame = self._inner.aggregate(stages, **options)
-        return FindCursor(lambda: Cursor(frame))
+    def aggregate(self, stages, **options) -> AggregationCursor:
+        return AggregationCursor(self._inner, list(stages), options)
 
     @staticmethod
     def _with_id(doc: dict) -> dict:

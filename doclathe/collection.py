@@ -1,11 +1,13 @@
 """Collections: an immutable frame that writes swap for a new one.
 
 A hidden column holds the order of arrival.  A write is one new lazy frame and one aggregate for its
-report; the lineage is cut by a reliable checkpoint every ``CHECKPOINT`` writes."""
+report; the lineage is cut by a table in the shared folder every ``CHECKPOINT`` writes.  A write of one
+document needs row numbers that are the same in every job, so the first one writes the frame out as well."""
 
 from __future__ import annotations
 
 import itertools
+import re
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +24,8 @@ from doclathe.plans.cursor import Cursor, find
 from doclathe.plans.pipeline import aggregate
 from doclathe.sources import documents
 from doclathe.sources.catalog import Environment
-from doclathe.sources.scratch import checkpointed
+from doclathe.sources.documents import type_of
+from doclathe.sources.scratch import snapshot
 
 CHECKPOINT = 20
 BULK = ("insertOne", "updateOne", "updateMany", "deleteOne", "deleteMany", "replaceOne")
@@ -56,6 +59,8 @@ class Collection:
         self.presence, self.options = presence, options or {}
         self._indexes: dict[str, dict] = {}
         self._writes = 0
+        #: Whether the order of arrival is stored, so that each job sees the same numbers.
+        self._pinned = False
         self._frame = self._load(source)
 
     def _load(self, source) -> DataFrame:
@@ -77,11 +82,19 @@ class Collection:
         return self._frame.drop(*[c for c in HIDDEN if c in self._frame.columns])
 
     def replace(self, df: DataFrame) -> None:
+        self._pinned = False
         self._swap(with_order(df.drop(*[c for c in HIDDEN if c in df.columns])))
 
     def _swap(self, df: DataFrame) -> None:
         self._writes += 1
-        self._frame = checkpointed(df) if self._writes % CHECKPOINT == 0 else df
+        self._frame = df
+        if self._writes % CHECKPOINT == 0:
+            self._frame, self._pinned = snapshot(df), True
+
+    def _pin(self) -> None:
+        """Numbers made on the fly depend on how a job cuts its partitions; stored ones don't."""
+        if not self._pinned:
+            self._frame, self._pinned = snapshot(self._frame), True
 
     # Reads
 
@@ -145,15 +158,18 @@ class Collection:
     # Deletes
 
     def _hit(self, query, one: bool):
-        """Which rows a write touches, and how many there are; of several only the first for a write of one."""
+        """Which rows a write touches; of several only the first for a write of one."""
+        if one:
+            self._pin()
         hit = sure(compile_filter(query, Scope.of(self._frame)))
-        found = self._frame.filter(hit).agg(F.min(ORD), F.count(F.lit(1))).first()
         if one:
-            return (F.col(ORD) == F.lit(found[0])) if found[1] else F.lit(False), min(1, found[1])
-        return hit, found[1]
+            first = self._frame.filter(hit).agg(F.min(ORD)).first()[0]
+            hit = hit & (F.col(ORD) == F.lit(first)) if first is not None else F.lit(False)
+        return hit
 
     def _delete(self, query, one: bool) -> int:
-        hit, n = self._hit(query, one)
+        hit = self._hit(query, one)
+        n = self._frame.filter(hit).count()
         if n:
             self._swap(self._frame.filter(~hit))
         return n
@@ -179,8 +195,10 @@ class Collection:
             raise SpecError("an update needs operators; use replace_one for a whole document")
         scope = Scope.of(self._frame)
         report = {"acknowledged": True, "matchedCount": 0, "modifiedCount": 0, "upsertedCount": 0, "upsertedId": None}
-        hit, n = self._hit(query, one)
-        if n:
+        hit = self._hit(query, one)
+        if upsert and not self._frame.filter(hit).limit(1).count():
+            report |= self._upsert(query, spec)
+        else:
             up = Update(scope, query if isinstance(query, dict) else None, array_filters).apply(spec)
             fields, differs = changed_columns(scope, up, hit)
             if "$push" in spec:
@@ -189,11 +207,10 @@ class Collection:
             if KEYS in self._frame.columns:
                 now = F.array_distinct(F.concat(F.filter(F.col(KEYS), lambda p: ~_below(p, up.removed)), F.array(*map(F.lit, up.added)).cast("array<string>")))
                 keys = [F.when(hit, now).otherwise(F.col(KEYS)).alias(KEYS)]
-            report["matchedCount"] = n
-            report["modifiedCount"] = self._frame.filter(hit).filter(differs).count()
-            self._swap(self._frame.select(*to_columns(fields), *keys, F.col(ORD)))
-        elif upsert:
-            report |= self._upsert(query, spec)
+            counts = self._frame.filter(hit).agg(F.count(F.lit(1)), F.count_if(differs)).first()
+            report["matchedCount"], report["modifiedCount"] = counts
+            if counts[0]:
+                self._swap(self._frame.select(*to_columns(fields), *keys, F.col(ORD)))
         return report
 
     def _upsert(self, query, spec: dict) -> dict:
@@ -211,8 +228,8 @@ class Collection:
         if is_update(doc):
             raise SpecError("a replacement has no operators")
         report = {"acknowledged": True, "matchedCount": 0, "modifiedCount": 0, "upsertedCount": 0, "upsertedId": None}
-        hit, n = self._hit(query, True)
-        if not n:
+        hit = self._hit(query, True)
+        if not self._frame.filter(hit).limit(1).count():
             return report | (self._upsert(query, doc) if upsert else {})
         scope = Scope.of(self._frame)
         if _keep_id and "_id" in scope.fields and "_id" in doc:
@@ -240,16 +257,19 @@ class Collection:
     # Find and modify: the document as it was before.
 
     def find_one_and_update(self, query, update: dict, upsert: bool = False, array_filters=None) -> dict | None:
+        self._pin()
         before = self.find_one(query)
         self.update_one(query, update, upsert, array_filters)
         return before
 
     def find_one_and_replace(self, query, doc: dict, upsert: bool = False) -> dict | None:
+        self._pin()
         before = self.find_one(query)
         self.replace_one(query, doc, upsert, _keep_id=False)
         return before
 
     def find_one_and_delete(self, query) -> dict | None:
+        self._pin()
         before = self.find_one(query)
         self.delete_one(query)
         return before
@@ -259,29 +279,42 @@ class Collection:
             raise TypeError("bulk_write needs a list")
         out = {"acknowledged": True, "insertedCount": 0, "matchedCount": 0, "modifiedCount": 0, "deletedCount": 0, "upsertedCount": 0, "insertedIds": {}, "upsertedIds": {}}
         errors = []
+        waiting: list[tuple[int, dict]] = []  # inserts that follow each other are one write
+
+        def flush() -> None:
+            if waiting:
+                done = self.insert_many([d for _, d in waiting])["insertedIds"]
+                out["insertedCount"] += len(waiting)
+                out["insertedIds"].update({i: done[k] for k, (i, _) in enumerate(waiting)})
+                waiting.clear()
+
         for i, op in enumerate(operations):
             if not isinstance(op, dict) or len(op) != 1 or next(iter(op)) not in BULK:
                 raise SpecError(f"bulk operation {i} has exactly one of {', '.join(BULK)}")
             ((kind, spec),) = op.items()
             try:
-                self._bulk(kind, spec, out, i)
+                if kind == "insertOne":
+                    type_of(spec["document"])  # what can't be stored fails here, alone
+                    waiting.append((i, spec["document"]))
+                else:
+                    flush()
+                    self._bulk(kind, spec, out, i)
             except Exception as e:
                 if ordered:
+                    flush()
                     raise
                 errors.append({"index": i, "errmsg": str(e)})
+        flush()
         return out | ({"writeErrors": errors} if errors else {})
 
     def _bulk(self, kind: str, spec: dict, out: dict, i: int) -> None:
-        if kind == "insertOne":
-            r = self.insert_one(spec["document"])
-            out["insertedIds"][i] = r["insertedId"]
-        elif kind in ("updateOne", "updateMany"):
+        if kind in ("updateOne", "updateMany"):
             r = self._update(spec["filter"], spec["update"], kind == "updateOne", bool(spec.get("upsert")), spec.get("arrayFilters"))
         elif kind == "replaceOne":
             r = self.replace_one(spec["filter"], spec["replacement"], bool(spec.get("upsert")))
         else:
             r = self.delete_one(spec["filter"]) if kind == "deleteOne" else self.delete_many(spec["filter"])
-        for k in ("insertedCount", "matchedCount", "modifiedCount", "deletedCount", "upsertedCount"):
+        for k in ("matchedCount", "modifiedCount", "deletedCount", "upsertedCount"):
             out[k] += r.get(k, 0)
         if r.get("upsertedCount"):
             out["upsertedIds"][i] = r["upsertedId"]
@@ -290,6 +323,7 @@ class Collection:
         n = self._frame.count()
         top = target._frame.agg(F.max(ORD)).first()[0]
         fresh = self._frame.withColumn(ORD, F.col(ORD) + F.lit((top if top is not None else -1) + 1))
+        target._pinned = target._pinned and self._pinned
         target._swap(union(target._frame, fresh) if target._frame.columns != [ORD] else fresh)
         return n
 
@@ -335,13 +369,42 @@ class Collection:
         return self
 
     def _access(self, query) -> str:
-        """Counts the index that a filter could have used; the plan is Spark's all the same."""
-        fields = [k for k in query if not k.startswith("$")] if isinstance(query, dict) else []
-        for i in self._indexes.values():
-            if next(iter(i["key"])) in fields:
-                i["ops"] += 1
-                return f"index {i['name']}, by scan with pushed filters"
-        return "scan"
+        """Counts the indexes that a filter could have used; the plan is Spark's all the same."""
+        names = self._usable(query)
+        for n in names:
+            self._indexes[n]["ops"] += 1
+        return f"index {', '.join(names)}, by scan with pushed filters" if names else "scan"
+
+    def _usable(self, query) -> list[str]:
+        """The index whose leading fields a filter bounds, the longest such prefix first; of an $or without other
+        conditions one for each branch, if all have one."""
+        if not isinstance(query, dict):
+            return []
+        if list(query) == ["$or"] and isinstance(query["$or"], (list, tuple)):
+            each = [self._usable(q) for q in query["$or"]]
+            return list(dict.fromkeys(n for names in each for n in names)) if each and all(each) else []
+        fixed = {f for f, c in query.items() if not f.startswith("$") and _bounds(c, {"$eq"})}
+        ranged = {f for f, c in query.items() if not f.startswith("$") and _bounds(c, {"$eq", "$in", "$gt", "$gte", "$lt", "$lte"})}
+
+        def prefix(index: dict) -> int:
+            n = 0
+            for f in index["key"]:
+                if f not in fixed:
+                    return n + (f in ranged)
+                n += 1
+            return n
+
+        best = max(self._indexes.values(), key=prefix, default=None)
+        return [best["name"]] if best and prefix(best) else []
+
+
+def _bounds(condition, operators: set[str]) -> bool:
+    """Whether a field's condition is a value, or made of the given operators."""
+    if isinstance(condition, re.Pattern):
+        return False
+    if isinstance(condition, dict) and any(k.startswith("$") for k in condition):
+        return set(condition) <= operators
+    return True
 
 
 def _below(p, removed: list[str]):

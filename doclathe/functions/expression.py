@@ -99,6 +99,8 @@ def number(v: Val) -> Val:
     """v if it is a number, else null."""
     if v.kind == "number":
         return Val(v.col.cast("double"), DOUBLE) if isinstance(v.dtype, T.DecimalType) else v
+    if v.kind == "variant":
+        return Val(values.variant_number(v.col), DOUBLE)
     return Val(F.lit(None).cast("double"), DOUBLE)
 
 
@@ -318,13 +320,18 @@ def _in(x: Val, a: Val) -> Val:
 
 @operator("$concatArrays")
 def _concat_arrays(*a: Val) -> Val:
-    lists = [v for v in a if v.kind == "array"]
-    if len(lists) < len(a) or not a:
-        return missing()
+    """What is no array, null too, is one element."""
+    lists = [v if v.kind == "array" else Val(F.array(v.col), T.ArrayType(v.dtype)) for v in a]
+    if not lists:
+        return Val(F.array(), T.ArrayType(values.NULL))
     to: T.DataType = lists[0].dtype
-    for v in lists:
-        to = common_type(to, v.dtype)
-    return Val(F.concat(*(coerce(v, to) for v in lists)), T.ArrayType(to.elementType))
+    for v in lists[1:]:
+        try:
+            to = common_type(to, v.dtype)
+        except SpecError:
+            to = T.ArrayType(STRING)
+    none = F.array(F.lit(None).cast(to.elementType))
+    return Val(F.concat(*(F.coalesce(coerce(v, to), none) for v in lists)), T.ArrayType(to.elementType))
 
 
 @operator("$reverseArray", 1)
@@ -353,14 +360,19 @@ def _filter(spec, scope: Scope) -> Val:
 
 @operator("$mergeObjects")
 def _merge(*a: Val) -> Val:
+    """The last object that is there says what a field is, null too."""
     objects = [v for v in a if isinstance(v.dtype, T.StructType)]
     names = list(dict.fromkeys(n for v in objects for n in v.dtype.names))
-    return values.struct({n: _if_null_of([values.field(v, n) for v in reversed(objects) if n in v.dtype.names]) for n in names})
+    return values.struct({n: _last_of([v for v in objects if n in v.dtype.names], n) for n in names})
 
 
-def _if_null_of(vs: list[Val]) -> Val:
-    to = shared_type(v.dtype for v in vs)
-    return Val(F.coalesce(*(coerce(v, to) for v in vs)), to)
+def _last_of(objects: list[Val], name: str) -> Val:
+    fields = [values.field(v, name) for v in objects]
+    to = shared_type(f.dtype for f in fields)
+    out = coerce(fields[0], to)
+    for v, f in zip(objects[1:], fields[1:]):
+        out = F.when(v.col.isNotNull(), coerce(f, to)).otherwise(out)
+    return Val(out, to)
 
 
 @special("$rand")

@@ -31,13 +31,13 @@ def deburr(text: str) -> str:
 
 
 class Stemmer:
-    """The suffix stripper of Porter's 1980 paper.  m counts vowel-consonant runs; v and d are the paper's
+    """The suffix stripper of Porter's 1980 paper, with the two rules of step 2 that its author revised later.  m counts vowel-consonant runs; v and d are the paper's
     *v* (holds a vowel) and *d (ends with a double consonant), o its cvc ending."""
 
     # The suffix rules of steps 2, 3 and 4.
     STEP2 = {
-        "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous",
-        "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble",
+        "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous",
+        "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log",
     }
     STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
     STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
@@ -177,26 +177,35 @@ def search(scope: Scope, spec) -> tuple[Column, Column]:
     terms, phrases, negations = parse_search(wanted, mode)
     if not terms and not phrases:
         return F.lit(False), F.lit(0.0)
-    tokens = _tokens(document_text(scope), mode)
-
-    def hits_of(words: list[str]) -> Column:
-        """How many different words of the list the document has."""
-        return F.size(F.array_intersect(F.array(*map(F.lit, words)), tokens))
-
-    total, hits = F.lit(0), F.lit(0)
-    for times in sorted({terms.count(t) for t in terms}):  # a term given twice counts twice
-        words = [t for t in dict.fromkeys(terms) if terms.count(t) == times]
-        total = total + F.size(F.filter(tokens, _one_of(words))) * times
-        hits = hits + hits_of(words) * times
-    ok = F.lit(True)
-    if negations:
-        ok = ok & (hits_of(list(dict.fromkeys(negations))) == 0)
-    if phrases:
-        line = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
-        for p in phrases:
-            ok = ok & F.contains(line, F.lit(f" {' '.join(p)} "))
-    if terms and not phrases:
-        ok = ok & (hits > 0)
+    words = list(dict.fromkeys([*terms, *negations]))
+    times = {w: terms.count(w) for w in words}  # a term given twice counts twice
+
+    def judge(tokens: Column) -> Column:
+        """Whether a list of tokens matches, and its score."""
+        there = {w: F.array_contains(tokens, w) for w in words}
+        hits = reduce(lambda a, b: a + b, (F.when(there[w], times[w]).otherwise(0) for w in dict.fromkeys(terms)), F.lit(0))
+        total = F.lit(0)
+        for t in sorted(set(times.values()) - {0}):
+            total = total + F.size(F.filter(tokens, _one_of([w for w in words if times[w] == t]))) * t
+        ok = F.lit(True)
+        for w in dict.fromkeys(negations):
+            ok = ok & ~there[w]
+        if phrases:
+            line = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+            for p in phrases:
+                ok = ok & F.contains(line, F.lit(f" {' '.join(p)} "))
+        if terms and not phrases:
+            ok = ok & (hits > 0)
+        if mode == "exact":
+            n = F.size(tokens)
+            base = F.when((total > 0) & (n > 0), (F.try_divide(0.5 * total, n.cast("double")) + 0.5) * hits).otherwise(0.0)
+        else:
+            base = total.cast("double")
+        return F.struct(ok.alias("ok"), (base + (1 if phrases else 0)).cast("double").alias("score"))
+
+    # A lambda over a list of one binds the tokens, so that they are made once a row.
+    found = F.element_at(F.transform(F.array(_tokens(document_text(scope), mode)), judge), 1)
+    ok = found["ok"]
     if mode == "lightweight":
         # Whatever holds a token holds its letters: most documents go before they are split.
         low = F.lower(document_text(scope))
@@ -206,9 +215,4 @@ def search(scope: Scope, spec) -> tuple[Column, Column]:
         else:
             first = [F.contains(low, F.lit(w)) for w in dict.fromkeys(terms)]
             ok = reduce(lambda a, b: a | b, first) & ok
-    if mode == "exact":
-        n = F.size(tokens)
-        base = F.when((total > 0) & (n > 0), (F.try_divide(0.5 * total, n.cast("double")) + 0.5) * hits).otherwise(0.0)
-    else:
-        base = total.cast("double")
-    return values.sure(ok), (base + (1 if phrases else 0)).cast("double")
+    return values.sure(ok), found["score"]

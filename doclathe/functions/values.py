@@ -230,6 +230,39 @@ def compare(op: str, a: Val, b: Val) -> Column:
     return out
 
 
+# The order of classes of values that a field of any type is sorted by.
+CLASSES = (("^VOID$", 0), ("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$", 1), ("^STRING$", 2), ("^OBJECT<", 3), ("^BOOLEAN$", 4), ("^(DATE|TIMESTAMP)", 5), ("^ARRAY<", 6))
+
+
+def variant_class(c: Column) -> Column:
+    """The class of a VARIANT's value as a number; 0 for null."""
+    name = F.schema_of_variant(c)
+    out = F.when(c.isNull(), 0)
+    for form, n in CLASSES:
+        out = out.when(name.rlike(form), n)
+    return out.otherwise(7)
+
+
+def variant_number(c: Column) -> Column:
+    """A VARIANT's number, null if it isn't one."""
+    return F.when(variant_class(c) == 1, F.try_variant_get(c, "$", "double"))
+
+
+def variant_key(c: Column) -> Column:
+    """What VARIANTs sort by: class, then number, truth or time, then text.  Objects and arrays are equal among
+    themselves."""
+    of = variant_class(c)
+    number = F.when(of == 1, F.try_variant_get(c, "$", "double")).when(of == 4, F.try_variant_get(c, "$", "boolean").cast("double"))
+    number = number.when(of == 5, F.unix_micros(F.try_variant_get(c, "$", "timestamp")).cast("double"))
+    return F.struct(of.alias("class"), number.alias("number"), F.when(of == 2, F.try_variant_get(c, "$", "string")).alias("text"))
+
+
+def variant_text(c: Column) -> Column:
+    """JSON text that is the same for equal values; null for null."""
+    of = variant_class(c)
+    return F.when(of == 1, text_of(Val(F.try_variant_get(c, "$", "double"), T.DoubleType()))).when(of != 0, F.to_json(c))
+
+
 def truthy(v: Val) -> Column:
     """False, null and 0 are false; all else is true, NaN and the empty string too."""
     if v.kind == "null":

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from doclathe.context import SpecError
 from doclathe.functions.expression import compile_expression, number
 from doclathe.functions.paths import Scope
-from doclathe.functions.values import Val
+from doclathe.functions.values import Val, variant_class, variant_key, variant_text
 
 #: name -> f(value, order): order is a struct that sorts as the documents come.
 ACCUMULATORS: dict[str, Callable[[Val, Column | None], Val]] = {}
@@ -39,18 +39,31 @@ def _avg(v: Val, order) -> Val:
     return Val(F.avg(number(v).col.cast("double")), DOUBLE)
 
 
+def _known(v: Val) -> Column:
+    """A VARIANT's sort key; nulls don't count."""
+    return F.when(variant_class(v.col) != 0, variant_key(v.col))
+
+
 @accumulator("$min")
 def _min(v: Val, order) -> Val:
+    if v.kind == "variant":
+        return Val(F.min_by(v.col, _known(v)), v.dtype)
     return Val(F.min(v.col), v.dtype)
 
 
 @accumulator("$max")
 def _max(v: Val, order) -> Val:
+    if v.kind == "variant":
+        return Val(F.max_by(v.col, _known(v)), v.dtype)
     return Val(F.max(v.col), v.dtype)
 
 
 def _all(v: Val, order: Column) -> Val:
-    rows = F.array_sort(F.collect_list(F.struct(order.alias("o"), v.col.alias("v"))))
+    rows = F.collect_list(F.struct(order.alias("o"), v.col.alias("v")))
+    if v.kind == "variant":  # not comparable: only the order decides
+        rows = F.array_sort(rows, lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0))
+    else:
+        rows = F.array_sort(rows)
     return Val(F.transform(rows, lambda r: r.getField("v")), T.ArrayType(v.dtype))
 
 
@@ -63,6 +76,9 @@ def _push(v: Val, order) -> Val:
 def _add_to_set(v: Val, order) -> Val:
     """Each different value once, at its first place; null is a value."""
     rows = _all(v, order)
+    if v.kind == "variant":
+        texts = F.transform(rows.col, lambda x: F.coalesce(variant_text(x), F.lit("null")))
+        return Val(F.transform(F.array_distinct(texts), F.parse_json), rows.dtype)
     return Val(F.array_distinct(rows.col), rows.dtype)
 
 

@@ -10,6 +10,8 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
+from pyspark.errors import PySparkTypeError, PySparkValueError
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -189,7 +191,7 @@ def _in(v, x, siblings, scope, strict):
         plain = [i for i in items if not isinstance(i, re.Pattern)]
         forms = [i for i in items if isinstance(i, re.Pattern)]
         return F.exists(v.col, lambda e: reduce(lambda a, b: a | b, [sure(regex(Val(e, of), p, "")) for p in forms], sure(_among(Val(e, of), plain))))
-    plain = [i for i in items if i is not None and not isinstance(i, (re.Pattern, dict, list, tuple))]
+    plain = [i for i in items if i is not None and not isinstance(i, re.Pattern)]
     c = _among(v, plain)
     if any(i is None for i in items):
         c = equals(v, None, scope, siblings.get(" path")) | sure(c)
@@ -429,11 +431,15 @@ def _where(x, scope, strict):
         raise SpecError("$where needs SQL text or a callable")
     try:
         c = x(Fields(scope))
-    except Exception:
+    except (AttributeError, TypeError, PySparkValueError, PySparkTypeError):  # it takes a document, not Columns
         c = None
-    if not isinstance(c, Column):  # plain Python over a document: once a row, in a Python worker
-        whole = scope.document()
-        c = F.udf(lambda row: bool(x(row.asDict(True))), T.BooleanType())(whole.col)
+    if not isinstance(c, Column):  # plain Python over documents, by Arrow batches in a Python worker
+
+        @F.arrow_udf("boolean")
+        def holds(batch: pa.Array) -> pa.Array:
+            return pa.array([bool(x(d)) for d in batch.to_pylist()], pa.bool_())
+
+        c = holds(scope.document().col)
     return sure(c) if strict else c
 
 

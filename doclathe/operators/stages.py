@@ -17,6 +17,7 @@ from doclathe.functions.values import Val, literal
 from doclathe.operators.accumulators import ORDERED, compile_accumulator
 from doclathe.operators.predicate import compile_filter
 from doclathe.operators.projection import _flag
+from doclathe.sources.scratch import snapshot
 
 
 @dataclass
@@ -27,6 +28,8 @@ class State:
     env: object = None
     #: Whether later stages ask for the order of rows.
     ordered_later: bool = False
+    #: The name of the stage after this one.
+    next: str | None = None
 
     @property
     def scope(self) -> Scope:
@@ -239,9 +242,31 @@ def _limit(s: State, operand) -> State:
     return s.to(s.df.limit(_whole(operand, "$limit")))
 
 
+def without_first(df: DataFrame, n: int) -> DataFrame:
+    """All rows but the first n, as they come, in that order.
+
+    An offset without a limit would send all rows to one task.  Here the rows are written once with their
+    numbers; rows are counted by partition, and what is left begins at one number."""
+    at = "_doclathe_at"
+    rows = snapshot(df.withColumn(at, F.monotonically_increasing_id()))
+    # The number's upper bits are the partition: one small row for each.
+    parts = rows.groupBy(F.shiftright(at, 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+    first = None
+    for p, size in sorted((r["p"], r["n"]) for r in parts):
+        if n < size:
+            first = (p << 33) + n
+            break
+        n -= size
+    kept = rows.filter(F.col(at) >= first) if first is not None else rows.limit(0)
+    return kept.orderBy(at).drop(at)
+
+
 @stage("$skip")
 def _skip(s: State, operand) -> State:
-    return s.to(s.df.offset(_whole(operand, "$skip")))
+    n = _whole(operand, "$skip")
+    if not n or s.next == "$limit" or s.df.isStreaming:
+        return s.to(s.df.offset(n))
+    return s.to(without_first(s.df, n))
 
 
 @stage("$unwind")
@@ -284,16 +309,41 @@ def _group(s: State, operand) -> State:
     wanted = {k: a for k, a in operand.items() if k != "_id"}
     order = s.order() if any(isinstance(a, dict) and set(a) & ORDERED for a in wanted.values()) else None
     found = {k: compile_accumulator(a, scope, order) for k, a in wanted.items()}
+    if key.kind == "variant":
+        key = Val(values.variant_text(key.col), T.StringType())
+        return _parsed_key(s.to(_grouped(s, key, operand, wanted, found, order)))
+    return s.to(_grouped(s, key, operand, wanted, found, order))
+
+
+def _parsed_key(s: State) -> State:
+    return s.to(s.df.withColumn("_id", F.parse_json("_id")))
+
+
+def _grouped(s: State, key: Val, operand, wanted: dict, found: dict[str, Val], order) -> DataFrame:
+    # Sets are made distinct before any group is gathered: each value of a group once, with its first place.
+    sets = {k: compile_expression(a["$addToSet"], s.scope) for k, a in wanted.items() if isinstance(a, dict) and list(a) == ["$addToSet"]}
+    sets = {k: v for k, v in sets.items() if v.kind not in ("null", "variant", "other") and not isinstance(v.dtype, T.MapType)}
+    found = {k: v for k, v in found.items() if k not in sets}
+    if not sets:
+        return _aggregated(s, key, operand, found)
+    df = _aggregated(s, key, operand, found)
+    by = key.col if key.kind != "null" and operand["_id"] is not None else F.lit(None).cast("string")
+    for k, v in sets.items():
+        each = s.df.select(by.alias("_key"), v.col.alias("_value"), order.alias("_at")).groupBy("_key", "_value").agg(F.min("_at").alias("_at"))
+        rows = each.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", "_value"))).alias("_rows"))
+        rows = rows.select("_key", F.transform("_rows", lambda r: r["_value"]).alias(k))
+        df = df.join(rows, df["_id"].eqNullSafe(rows["_key"]), "left").drop("_key")
+    return df.select("_id", *(F.col(f"`{k}`") for k in wanted), *(F.col(c) for c in df.columns if c == ORD))
+
+
+def _aggregated(s: State, key: Val, operand, found: dict[str, Val]) -> DataFrame:
     aggregates = [v.col.alias(k) for k, v in found.items()]
     if s.ordered_later and ORD in s.df.columns:
         aggregates.append(F.min(ORD).alias(ORD))
     if key.kind == "null" or operand["_id"] is None:
         df = s.df.agg(*aggregates, F.count(F.lit(1)).alias("_n")).filter("_n > 0").drop("_n")
-        return s.to(df.select(F.lit(None).cast("string").alias("_id"), *(F.col(f"`{c}`") for c in df.columns)))
-    if key.kind == "variant":
-        key = Val(F.to_json(key.col), T.StringType())
-    df = s.df.groupBy(key.col.alias("_id")).agg(*aggregates) if aggregates else s.df.select(key.col.alias("_id")).distinct()
-    return s.to(df)
+        return df.select(F.lit(None).cast("string").alias("_id"), *(F.col(f"`{c}`") for c in df.columns))
+    return s.df.groupBy(key.col.alias("_id")).agg(*aggregates) if aggregates else s.df.select(key.col.alias("_id")).distinct()
 
 
 @stage("$sample")
@@ -317,7 +367,7 @@ def sort_columns(spec, scope: Scope) -> list[Column]:
         v = scope.get(path)
         if v.kind == "null":
             continue
-        c = F.to_json(v.col) if v.kind == "variant" else v.col
+        c = values.variant_key(v.col) if v.kind == "variant" else v.col
         out.append(c.asc_nulls_first() if d == 1 else c.desc_nulls_last())
     return out
 
@@ -394,6 +444,10 @@ def _lookup(s: State, operand) -> State:
     to = values.common_type(one.dtype, key.dtype)
     to = T.StringType() if isinstance(to, T.NullType) else to
     docs = foreign.select(values.coerce(key, to).alias("_fk"), F.col(ORD).alias("_fo"), document.col.alias("_doc"))
+    # Foreign rows without a key are gathered only if a document asks for them.
+    asks = s.df.filter(F.exists(local.col, lambda x: x.isNull()) | local.col.isNull() if listed else local.col.isNull())
+    asks = asks.limit(1).select(F.lit(True).alias("_asked"))
+    docs = docs.filter("_fk is not null").unionByName(docs.filter("_fk is null").crossJoin(F.broadcast(asks)).drop("_asked"))
     if not listed:
         # Foreign rows are gathered once a key, so local rows are never multiplied.
         rows = F.array_sort(F.collect_list(F.struct("_fo", "_doc")))

@@ -42,6 +42,7 @@ def aggregate(df: DataFrame, stages, env: Environment | None = None, keep_hidden
     state = State(df, env or Environment())
     for i, (name, operand) in enumerate(todo):
         state.ordered_later = any(wants[i + 1 :])
+        state.next = todo[i + 1][0] if i + 1 < len(todo) else None
         state = STAGES[name](state, operand)
         if state.ordered_later and ORD not in state.df.columns:
             state.df = with_order(state.df)

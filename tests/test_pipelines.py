@@ -98,9 +98,9 @@ def one(spark, spec, doc=None):
         ({"$split": ["ab", ""]}, ["a", "b"]), ({"$substrCP": ["$s", 1, 2]}, "b "), ({"$substr": ["$s", -2, 2]}, " c"), ({"$trim": {"input": "\t x \n"}}, "x"),
         ({"$cmp": ["$a", "$b"]}, 1), ({"$cond": ["$s", 1, 2]}, 1), ({"$cond": [0, 1, 2]}, 2), ({"$cond": ["", "yes", "no"]}, "yes"), ({"$ifNull": ["$u", "$missing", "four"]}, "four"), ({"$ifNull": ["$missing", 4]}, 4), ({"$cond": [True, "$a", "x"]}, "7"),
         ({"$and": [1, "a", True]}, True), ({"$or": [0, None, False]}, False), ({"$not": [0]}, True), ({"$size": "$l"}, 3), ({"$arrayElemAt": ["$l", -1]}, 2),
-        ({"$arrayElemAt": ["$l", 5]}, None), ({"$in": [1, "$l"]}, True), ({"$in": [1, "$s"]}, False), ({"$concatArrays": ["$l", [9]]}, [3, 1, 2, 9]), ({"$concatArrays": ["$l", "$u"]}, None),
+        ({"$arrayElemAt": ["$l", 5]}, None), ({"$in": [1, "$l"]}, True), ({"$in": [1, "$s"]}, False), ({"$concatArrays": ["$l", [9]]}, [3, 1, 2, 9]), ({"$concatArrays": ["$l", "$u"]}, ["3", "1", "2", None]), ({"$concatArrays": ["$l", None, 4]}, [3, 1, 2, None, 4]),
         ({"$reverseArray": "$l"}, [2, 1, 3]), ({"$map": {"input": "$l", "in": {"$multiply": ["$$this", 2]}}}, [6, 2, 4]),
-        ({"$filter": {"input": "$l", "as": "e", "cond": {"$gte": ["$$e", 2]}}}, [3, 2]), ({"$mergeObjects": [{"a": 1}, None, {"b": "$a", "a": "$missing"}]}, {"a": 1, "b": 7}),
+        ({"$filter": {"input": "$l", "as": "e", "cond": {"$gte": ["$$e", 2]}}}, [3, 2]), ({"$mergeObjects": [{"a": 1}, None, {"b": "$a", "a": "$missing"}]}, {"a": None, "b": 7}), ({"$mergeObjects": [{"a": 1, "c": 2}, {"a": "$u"}, {"$ifNull": ["$missing", None]}]}, {"a": None, "c": 2}),
         ({"$literal": {"$add": [1]}}, {"$add": [1]}), ({"$eq": [{"a": [1]}, {"a": [1]}]}, True), ({"$eq": ["$u", "$missing"]}, True), ({"$gt": ["$s", 1]}, False),
         ({"$switch": {"branches": [{"case": "$f", "then": 1}], "default": 2}}, 2), ({"$strLenCP": "héé"}, 3), ({"x": "$a", "y": ["$b"]}, {"x": 7, "y": [0]}), ({"$pow": ["$a", 2]}, 49.0), ({"$sqrt": 9}, 3.0),
         ({"$abs": -3}, 3), ({"$ceil": 1.2}, 2.0), ({"$floor": -1.2}, -2.0), ({"$ne": [1, 1.0]}, False), ({"$toLower": "ÀB"}, "àb"),
