@@ -15,8 +15,9 @@ Texts are lower-cased and coded as UTF-8; ASCII characters other than letters se
 one space.
 
 The sample takes rows with a language, outside the held-out ids, of at most ``TRAIN_BYTES`` bytes, and
-about ``TRAIN_DOCS`` of each language, chosen by a hash of the id; fewer where there are so many
-languages that the whole would pass ``SAMPLE_DOCS``.  More than ``LANGUAGES`` different labels are refused.
+about ``TRAIN_DOCS`` of each language; fewer where the languages are so many that the whole would pass
+``SAMPLE_BYTES``.  A hash of the text chooses, and equal texts of a language count once, so neither a hot id nor
+a hot text makes it larger.  More than ``LANGUAGES`` different labels are refused.
 
 The pipeline's stage rejects what is ``und``, and text that no learned language explains: if ``NONE_BITS`` for
 each byte make a code that is shorter than the best language's by more than ``NONE_PRIOR`` bits.
@@ -38,7 +39,7 @@ from doclathe.llm.common import held_out as is_held_out
 from doclathe.llm.common import ship, table
 
 TRAIN_DOCS = 400
-SAMPLE_DOCS = 40_000
+SAMPLE_BYTES = 32 << 20
 TRAIN_BYTES = 20_000
 LANGUAGES = 5000
 ORDER = 3
@@ -182,22 +183,23 @@ class Model:
 
 def train(docs: DataFrame, docs_per_lang: int = TRAIN_DOCS, held_out: tuple[int, int] = (4, 2)) -> Model:
     """Learn from text and language of rows whose crc32(doc_id) modulo held_out[0] isn't held_out[1]."""
-    able = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    able = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     able = able.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out("doc_id", *held_out) & (F.octet_length("text") <= TRAIN_BYTES))
-    counts = able.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()
+    counts = able.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).limit(LANGUAGES + 1).collect()
     if len(counts) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} different languages")
     if not counts:
         return Model({})
     million = 1_000_000
-    each = max(1, min(docs_per_lang, SAMPLE_DOCS // len(counts)))
-    parts = [(r["lang"], min(million, -(-each * million // r["n"]))) for r in counts]
+    share = SAMPLE_BYTES // len(counts)
+    each = {r["lang"]: max(1, min(docs_per_lang, share * r["n"] // max(1, r["size"]))) for r in counts}
+    parts = [(r["lang"], min(million, -(-each[r["lang"]] * million // r["n"]))) for r in counts]
     # A row for each language: at most LANGUAGES.
     chances = docs.sparkSession.createDataFrame(parts, "lang string, chance int")
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(million))
+    draw = F.pmod(F.xxhash64("text", F.lit("language sample")), F.lit(million))
     picked = able.join(F.broadcast(chances), "lang").filter(draw < F.col("chance"))
     sample: dict[str, list[bytes]] = {}
-    for r in picked.select("lang", "text").collect():
+    for r in picked.select("lang", "text").distinct().collect():
         sample.setdefault(r["lang"], []).append(normal(r["text"]))
     return Model({x: sorted(texts) for x, texts in sample.items()})
 

@@ -79,6 +79,18 @@ def test_query_against_the_definition(spark):
         assert abs(r.bits_per_byte - bits[best] / len(data)) < 1e-3
 
 
+def test_the_sample_is_bounded_by_bytes_and_not_by_ids(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "Model", seen.append)
+    rows = [(None if i % 2 else 7, f"word{i} " * 10, "en") for i in range(3000)] + [(None, "le même texte", "fr")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langid.train(df)
+    assert 300 < len(seen[0]["en"]) < 500 and seen[0].get("fr", []) in ([], [langid.normal("le même texte")])
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 9000)
+    langid.train(df)
+    assert 20 < len(seen[1]["en"]) < 90
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     lang = {r.doc_id: r.lang for r in docs.collect()}
