@@ -19,8 +19,8 @@ at least ``LEAST_DOCS`` different texts count, the ``FEATURES`` most frequent on
 
 Defined cases: null and empty texts have no tokens and the score of a document without marginals;
 without labels of both classes all scores are 0; a null id is never held out; a document labelled twice
-is toxic if any label says so; repeated rows give repeated rows; an empty table gives no rows; further
-columns are not read."""
+is toxic if any label says so; of several texts with one labelled id only the least is learned from;
+repeated rows give repeated rows; an empty table gives no rows; further columns are not read."""
 
 from __future__ import annotations
 
@@ -288,7 +288,7 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = TRAIN_DOCS,
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
     # About 2 * docs_per_class ids: as bounded as that parameter.
     sample = texts.filter(F.col("_text").isNotNull() & (F.octet_length("_text") <= TRAIN_BYTES)).join(F.broadcast(picked), "_id")
-    rows = sorted(tuple(r) for r in sample.select("_id", "_toxic", "_text").distinct().collect())
+    rows = sorted(tuple(r) for r in sample.groupBy("_id", "_toxic").agg(F.min("_text")).collect())
     toxic = np.array([bool(r[1]) for r in rows])
     if not len(rows) or toxic.all() or not toxic.any():
         return None

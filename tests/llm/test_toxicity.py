@@ -81,7 +81,7 @@ def test_spans_where_lower_case_is_longer():
     assert toxicity._spans("İx y") == [(0, 1), (1, 2), (3, 4)] or toxicity._spans("İx y") == [(0, 2), (3, 4)]
 
 
-def test_cases(spark):
+def test_cases(spark, monkeypatch):
     bad, good = "you idiot trash moron", "the quiet river runs past"
     docs = [(i, " ".join(f"{w} {i * 7 + k}" for k, w in enumerate((bad if i % 3 == 0 else good).split())), "x") for i in range(60)] + [(100, None, "x"), (101, "", None), (101, "", None), (None, "a " * 100000, "x")]
     df = spark.createDataFrame(docs, "doc_id long, text string, _id string")
@@ -93,5 +93,10 @@ def test_cases(spark):
     assert not any(r.held_out for r in rows if r.doc_id is None)
     assert {r.predicted for r in rows if r.doc_id in (100, 101, None)} == {0}
     assert toxicity.train(df, labels.filter("toxic = 0")) is None
+    learned = []
+    monkeypatch.setattr(toxicity, "fit_model", lambda texts, *_: learned.extend(texts))
+    hot = spark.createDataFrame([(3, f"hot {i:04}", None) for i in range(2000)], df.schema)
+    toxicity.train(df.filter("doc_id <> 3").unionByName(hot), labels)
+    assert sum(t.startswith("hot") for t in learned) == 1 and "hot 0000" in learned
     assert {r.score for r in toxicity.score(df, None).collect()} == {0.0}
     assert toxicity.score(df.limit(0), None).collect() == []
