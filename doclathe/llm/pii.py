@@ -10,6 +10,9 @@ and . ; runs of spelled digits in English, French, German and Spanish become dig
 run on what comes out.  A match that covers a rewritten character is mapped back to source characters,
 and is kept unless it overlaps a base span of its kind.  Texts without a disguise's trigger skip the chain.
 
+Credentials (a run of 16 characters or more with a digit that is assigned to a name like token or api_key) are
+no identifiers of a person, but go with them: they have a column of their own and are in no other.
+
 Offsets count code points, end exclusive.  Defined cases: null text is empty; an empty text has no span
 and the digest of the empty text; repeated rows give repeated rows; an empty table gives no rows;
 further columns are not read."""
@@ -82,6 +85,16 @@ def phones(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _PHONE.finditer(text) if 9 <= sum(map(str.isdigit, m[0])) <= 15]
 
 
+#: What is assigned, and the names that make it a credential; no name with its quote and blanks is longer.
+_ASSIGNED = re.compile(r"[=:][ \t]*[\"']?([A-Za-z0-9+/_.~=-]{16,})")
+_CREDENTIAL = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|(?:api|access|private|secret)[_ -]?key)[\"']?[ \t]{0,3}\Z")
+_NAME_CHARS = 15
+
+
+def secrets(text: str) -> list[tuple[int, int]]:
+    return [m.span(1) for m in _ASSIGNED.finditer(text) if _CREDENTIAL.search(text, max(0, m.start() - _NAME_CHARS), m.start()) and any(map(str.isdigit, m[1]))]
+
+
 DETECT = {"email": emails, "ip": ips, "card": cards, "phone": phones}
 
 # Look-alike letters of other scripts.
@@ -237,7 +250,7 @@ def digest(spans: dict[str, list[tuple[int, int]]]) -> str:
 
 
 _LONG = pa.int64()
-_ARROW = pa.schema([("doc_id", _LONG), *((f"n_{k}", _LONG) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
+_ARROW = pa.schema([("doc_id", _LONG), *((f"n_{k}", _LONG) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("secrets", pa.string()), ("n_found", _LONG)])
 
 
 def _batches(it):
@@ -245,14 +258,17 @@ def _batches(it):
         rows = []
         for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             base, spans = find(t)
-            rows.append({"doc_id": d, **{f"n_{k}": len(base[k]) for k in KINDS}, "base_sha256": hashlib.sha256(digest(base).encode()).hexdigest(), "spans": digest(spans)})
+            keys = secrets(t or "")
+            counts = {f"n_{k}": len(base[k]) for k in KINDS} | {"n_found": sum(map(len, spans.values())) + len(keys)}
+            rows.append({"doc_id": d, **counts, "base_sha256": hashlib.sha256(digest(base).encode()).hexdigest(), "spans": digest(spans), "secrets": ",".join(f"secret:{a}:{b}" for a, b in keys)})
         yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
 def identifiers(docs: DataFrame) -> DataFrame:
-    """One row for each document: counts of base spans, their digest, and all spans as kind:start:end."""
+    """One row for each document: counts of base spans, their digest, all spans as kind:start:end, credentials
+    likewise, and how many spans and credentials there are."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_batches, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_batches, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, secrets string, n_found long")
 
 
 def op10_pii_spans(spark, sf_dir):

@@ -242,10 +242,25 @@ def test_many_disguises_in_one_text():
     assert len(pii.find(text)[1]["email"]) == 20000
 
 
+def test_credentials():
+    key = "cb1a9fee807a0536-6fcb8b6c"
+    for before in ('token = "', "my_api_key=", "API Key:  ", "'password': '", "x\nsecret_key = ", "private-key'   = "):
+        for text in (before + key + '" and', "y " * 50 + before + key):
+            at = text.index(key)
+            assert pii.secrets(text) == [(at, at + len(key))], text
+    for text in ("", key, f"taken = {key}", f"token {key}", "token = " + key[:15], "password: correcthorsebatterystaple", f"token     = {key}"):
+        assert pii.secrets(text) == [], text
+    many = "=" * 50000 + " : token = " + "\t" * 50000 + key
+    assert pii.secrets(many) == [(len(many) - len(key), len(many))]
+
+
 def test_pii_rows(spark):
     rows = pii.identifiers(spark.createDataFrame(CASES, "doc_id long, text string, n_ip string")).collect()
     assert sorted(r.n_email for r in rows) == [0, 0, 0, 0, 3000]
     assert all(r.base_sha256 == hashlib.sha256(b"").hexdigest() and r.spans == "" for r in rows if not r.n_email)
+    assert all(r.secrets == "" and r.n_found == (r.spans.count(",") + 1 if r.spans else 0) for r in rows)
+    (r,) = pii.identifiers(spark.createDataFrame([(1, "a@b.cc, a [at] b.cc, token = 0123456789abcdef")], "doc_id long, text string")).collect()
+    assert (r.n_email, r.n_found, r.secrets) == (1, 3, "secret:29:45")
     assert pii.identifiers(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
