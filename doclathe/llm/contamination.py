@@ -86,9 +86,9 @@ def _lookup(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 def _contained(docs: DataFrame, benchmark: DataFrame, containment: float) -> DataFrame:
     """docs: doc (of any type, not null), text -> doc, item_id, n_shared, n_item."""
-    same = F.min("item_id").over(Window.partitionBy("text"))
     tests = scratch(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null").distinct())
-    once = tests.withColumn("item", same)
+    # Items of equal texts go by the least id.
+    once = tests.join(tests.groupBy("text").agg(F.min("item_id").alias("item")), "text")
     items = scratch(shingles(once.select("item", "text").distinct(), "item"))
     sketch = scratch(sketches(items, containment))
     hits = _lookup(_positions(_words(docs, "doc"), "doc").select("doc", F.expr(_HASH).alias("h")), sketch.select("item", "h"))
