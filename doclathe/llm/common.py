@@ -81,6 +81,7 @@ atexit.register(drop_scratch)
 
 #: Columns of keyed(); tables have no columns of these names.
 KEY = ["_doclathe_file", "_doclathe_row"]
+TIE = "_doclathe_tie"
 
 
 def keyed(df: DataFrame) -> DataFrame:
@@ -93,6 +94,12 @@ def keyed(df: DataFrame) -> DataFrame:
         return keyed(scratch(df))
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """A table in the shared folder with ``TIE``, a hash of each row's place in its files: the same whenever the row is
+    read, it lets equal rows be cut apart when rows are dealt out by range."""
+    return scratch(df).select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(TIE))
+
+
 def part():
     """The number of the partition that the file of keyed() was written from; null for files of other names."""
     return F.regexp_extract(KEY[0], "/part-([0-9]{1,18})[^/]*$", 1).try_cast("long")

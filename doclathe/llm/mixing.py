@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclathe.llm.common import KEY, keyed, scratch, ship, table
+from doclathe.llm.common import KEY, TIE, keyed, placed, ship, table
 from doclathe.llm.ranking import rank_rows
 
 BLOCK_ROWS = 16
@@ -194,7 +194,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     """doc_id, source, weight, block, phase, slot, release, deadline, position (gapless from 0), and the columns to keep."""
     spark = docs.sparkSession
     ship(spark)
-    rows = scratch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.lit(seed), "doc_id").alias("by_id"), *keep))
+    rows = placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.lit(seed), "doc_id").alias("by_id"), *keep))
     counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(SOURCES + 1).collect()}
     if len(counts) > SOURCES:
         raise ValueError(f"more than {SOURCES} different sources")
@@ -221,7 +221,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
                 ["doc_id", "source", "weight", *COLUMNS, *keep],
             )
 
-    ranked = rank_rows(rows, ["by_id", "doc_id", *keep], "source").select("doc_id", "source", "rank", *keep)
+    ranked = rank_rows(rows, ["by_id", "doc_id", *keep, TIE], "source").select("doc_id", "source", "rank", *keep)
     return ranked.mapInArrow(batches, "doc_id long, source string, weight double, " + ", ".join([*(f"{n} long" for n in COLUMNS), *(f"{n} {rows.schema[n].dataType.simpleString()}" for n in keep)]))
 
 

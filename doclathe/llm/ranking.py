@@ -15,7 +15,7 @@ LOW33 = (1 << 33) - 1
 
 def rank_rows(df: DataFrame, order: list[str], group: str | None = None) -> DataFrame:
     """Adds ``rank`` (from 0, over all rows by [group, *order]) or, with a group, ``rank`` within the group
-    and ``group_rows``.  ``order`` should tell rows apart: equal rows may change places."""
+    and ``group_rows``.  ``order`` should tell rows apart (see ``common.placed``): rows equal in it go to one task."""
     keys = [*([group] if group else []), *order]
     placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     placed = scratch(placed.withColumn("_at", F.monotonically_increasing_id()))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclathe.llm.common import KEY, keyed, part, scratch, table
+from doclathe.llm.common import KEY, TIE, keyed, part, placed, table
 from doclathe.llm.ranking import rank_rows
 
 SHARDS = 40
@@ -28,7 +28,7 @@ MADE = ("size", "text_crc32", "law", "shard", "slot")
 def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, text_crc32, law, shard, slot (from 0, gapless in the shard), grown_shard (null)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = scratch(
+    rows = placed(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
@@ -38,7 +38,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame
             F.xxhash64(F.lit(seed), "doc_id").alias("by_id"),
         )
     )
-    ranked = rank_rows(rows, ["by_text", "by_id", "doc_id"], "source")
+    ranked = rank_rows(rows, ["by_text", "by_id", "doc_id", TIE], "source")
     ranked = ranked.select("doc_id", "source", "size", "text_crc32", ((2 * F.col("rank") + 1) / (2 * F.col("group_rows"))).alias("part"))
     ranked = rank_rows(ranked, ["part", "source", "doc_id"])
     n = rows.count()
@@ -61,15 +61,15 @@ def deal(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     order = ["_part", *KEY]
     slim = rows.select(F.col("source").cast("string").alias("source"), part().alias("_part"), *KEY)
     dealt = rank_rows(slim, ["source", *order]).select((F.col("rank") % shards).cast("int").alias("shard"), *order)
-    placed = rank_rows(dealt, order, "shard").select(*KEY, "shard", F.col("rank").alias("slot"))
+    slots = rank_rows(dealt, order, "shard").select(*KEY, "shard", F.col("rank").alias("slot"))
     sized = rows.withColumns({"size": (F.octet_length(text) + OVERHEAD).cast("long"), "text_crc32": F.crc32(text.cast("binary")), "law": F.lit("rows")})
-    return sized.join(placed, KEY).select(*docs.columns, *MADE)
+    return sized.join(slots, KEY).select(*docs.columns, *MADE)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> None:
     """Write the documents to ``path``/shard=K/, in slot order.  doc_id must tell documents apart."""
-    placed = docs.drop("shard", "slot").join(assign(docs, shards, seed).select("doc_id", "shard", "slot"), "doc_id")
-    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+    found = docs.drop("shard", "slot").join(assign(docs, shards, seed).select("doc_id", "shard", "slot"), "doc_id")
+    found.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
 
 
 def op4_stratified_sharding(spark, sf_dir):

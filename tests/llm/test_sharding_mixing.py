@@ -1,7 +1,7 @@
 import zlib
 from collections import Counter
 
-from doclathe.llm import mixing, sharding
+from doclathe.llm import common, mixing, ranking, sharding
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,6 +46,30 @@ def test_shard_cases(spark):
     assert sharding.assign(df.limit(0)).collect() == []
 
 
+def test_equal_rows_are_dealt_to_many_tasks(spark, monkeypatch):
+    """A third of all rows with one text and no id: ranked by several tasks, each row once."""
+    from pyspark.sql import functions as F
+
+    sizes = []
+
+    def counted(df):
+        sizes.append([r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()])
+        return common.scratch(df)
+
+    monkeypatch.setattr(ranking, "scratch", counted)
+    rows = [(i, f"text {i}", "a") for i in range(4000)] + [(None, "same", "a")] * 2000
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = sharding.assign(df).collect()
+        mixed = mixing.mix(df).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 3 and all(sum(s) == 6000 and max(s) < 1500 for s in sizes)
+    assert len(placed) == 6000 and set(Counter(r.shard for r in placed).values()) == {150}
+    assert sorted(r.position for r in mixed) == list(range(6000))
+
+
 def test_edf_meets_deadlines_and_shares():
     for k in ({"a": 1, "b": 2, "c": 5}, {"x": 7, "y": 11, "z": 13, "w": 69}, mixing.whole_slots({str(i): 1 / (i + 1) for i in range(30)}, 1000)):
         size = sum(k.values())
