@@ -141,6 +141,8 @@ class AggregationCursor:
     def next(self):
         return self._cursor().next()
 
+    try_next = next
+
     def __iter__(self) -> Iterator:
         return iter(self._cursor())
 

@@ -237,19 +237,20 @@ put(
     "stage_lookup",
     lambda spark, d: fn.aggregate(
         table(spark, d, "orders").select("o_orderkey", "o_custkey"),
-        [{"$lookup": {"from": table(spark, d, "customer").filter("c_custkey % 3 <> 0"), "localField": "o_custkey", "foreignField": "c_custkey", "as": "who"}}, {"$project": {"o_orderkey": 1, "n": {"$size": "$who"}, "seg": {"$arrayElemAt": ["$who.c_mktsegment", 0]}, "first": {"$arrayElemAt": ["$who", 0]}}}, {"$project": {"o_orderkey": 1, "n": 1, "name": "$first.c_name"}}],
+        # By a doubled key, so that orders of odd customers find none.
+        [{"$lookup": {"from": table(spark, d, "customer").withColumn("c_twice", F.col("c_custkey") * 2), "localField": "o_custkey", "foreignField": "c_twice", "as": "who"}}, {"$project": {"o_orderkey": 1, "n": {"$size": "$who"}, "seg": {"$arrayElemAt": ["$who.c_mktsegment", 0]}, "first": {"$arrayElemAt": ["$who", 0]}}}, {"$project": {"o_orderkey": 1, "n": 1, "name": "$first.c_name"}}],
     ),
-    "SELECT o_orderkey, CAST(CASE WHEN c_custkey IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n, c_name AS name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey",
+    "SELECT o_orderkey, CAST(CASE WHEN c_custkey IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n, c_name AS name FROM orders LEFT JOIN customer ON o_custkey = c_custkey * 2",
 )
 put(
     "stage_lookup_array",
     lambda spark, d: fn.aggregate(
-        table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set(F.col("o_orderkey") % 50)).alias("keys")),
-        [{"$lookup": {"from": table(spark, d, "part").filter("p_partkey < 40").select("p_partkey", "p_size"), "localField": "keys", "foreignField": "p_partkey", "as": "parts"}}],
+        table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set(F.col("o_orderkey") % 5000)).alias("keys")),
+        [{"$lookup": {"from": table(spark, d, "part").select("p_partkey", "p_size"), "localField": "keys", "foreignField": "p_partkey", "as": "parts"}}],
     ).select("o_custkey", F.size("parts").cast("long").alias("n"), F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["p_size"]).alias("size")),
-    """WITH k AS (SELECT DISTINCT o_custkey, o_orderkey % 50 AS k FROM orders)
+    """WITH k AS (SELECT DISTINCT o_custkey, o_orderkey % 5000 AS k FROM orders)
        SELECT o_custkey, count(p_partkey) AS n, CAST(coalesce(sum(p_size), 0) AS BIGINT) AS size
-       FROM k LEFT JOIN (SELECT p_partkey, p_size FROM part WHERE p_partkey < 40) ON k = p_partkey GROUP BY 1""",
+       FROM k LEFT JOIN part ON k = p_partkey GROUP BY 1""",
 )
 put(
     "stage_redact",
