@@ -4,12 +4,12 @@
 2. Near copies: of each group of linked fingerprints the document with the smallest id stays.
 3. Decontamination: documents that contain a benchmark item go.
 4. Mixing: the rows are put in the order of a Pfair schedule of their sources.
-5. Sharding: each document gets its shard and slot.  Each source is dealt out evenly in its mixed order, and
-   slots follow the mixed order: all shards hold the sources in proportion and each reads like the mix.
+5. Sharding: each document gets its shard and slot.  Shards are those of the sharding operator: fractional ranks
+   within the sources, cut into equal runs.  Slots follow the mixed order, so each shard reads like the mix.
 
 The first four return the columns of documents; the last adds size, text_crc32, law, shard and slot.
 No stage changes a text.  The last two stages pass the order on in the files: by part and by row in it.
-Repeated and null ids are documents like others to all stages but the third, which knows them by doc_id."""
+Repeated and null ids are documents like others to all stages."""
 
 from __future__ import annotations
 

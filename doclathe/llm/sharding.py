@@ -11,6 +11,8 @@ change places with each other; an empty table gives no rows; further columns are
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,9 @@ OVERHEAD = 16
 MADE = ("size", "text_crc32", "law", "shard", "slot")
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, text_crc32, law, shard, slot (from 0, gapless in the shard), grown_shard (null)."""
+def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, size, text_crc32, law, shard, slot (from 0, gapless in the shard), grown_shard (null), and the
+    columns to keep."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = placed(
         docs.select(
@@ -36,34 +39,30 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(F.lit(seed), text).alias("by_text"),
             F.xxhash64(F.lit(seed), "doc_id").alias("by_id"),
+            *keep,
         )
     )
     ranked = rank_rows(rows, ["by_text", "by_id", "doc_id", TIE], "source")
-    ranked = ranked.select("doc_id", "source", "size", "text_crc32", ((2 * F.col("rank") + 1) / (2 * F.col("group_rows"))).alias("part"))
+    ranked = ranked.select("doc_id", "source", "size", "text_crc32", ((2 * F.col("rank") + 1) / (2 * F.col("group_rows"))).alias("part"), *keep)
     ranked = rank_rows(ranked, ["part", "source", "doc_id"])
     n = rows.count()
     shard = F.expr(f"rank * {shards} div {max(n, 1)}")
     first = F.expr(f"(shard * {n} + {shards - 1}) div {shards}")
     out = ranked.withColumn("shard", shard).withColumn("slot", F.col("rank") - first)
-    return out.select("doc_id", "source", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", "source", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *keep)
 
 
-def deal(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def deal(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """All columns of documents that stand in a mixed order, with size, text_crc32, law, shard and slot.
 
-    The order is that of the files and the rows in them (of the frame, where it isn't read from files).  Each
-    source's rows are dealt to the shards in turn, and the next source goes on where the one before ended: a
-    shard has its share of every source to within a row, and shard sizes differ by one row at most (the law
-    ``rows``).  Slots follow the mixed order, so each shard is the mix in small, with the mix's weights along it."""
+    Shards are those of ``assign``, row by row.  Only the slots differ: they follow the mixed order, which is that of
+    the files and the rows in them (of the frame, where it isn't read from files).  As a source's rows come to the
+    shards by the hash of their text, a shard has rows from all along the order: each is the mix in small."""
     docs = docs.drop(*MADE)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = keyed(docs)
-    order = ["_part", *KEY]
-    slim = rows.select(F.col("source").cast("string").alias("source"), part().alias("_part"), *KEY)
-    dealt = rank_rows(slim, ["source", *order]).select((F.col("rank") % shards).cast("int").alias("shard"), *order)
-    slots = rank_rows(dealt, order, "shard").select(*KEY, "shard", F.col("rank").alias("slot"))
-    sized = rows.withColumns({"size": (F.octet_length(text) + OVERHEAD).cast("long"), "text_crc32": F.crc32(text.cast("binary")), "law": F.lit("rows")})
-    return sized.join(slots, KEY).select(*docs.columns, *MADE)
+    found = assign(rows, shards, seed, KEY).select("shard", "size", "text_crc32", "law", part().alias("_part"), *KEY)
+    slots = rank_rows(found, ["_part", *KEY], "shard").select(*KEY, "size", "text_crc32", "law", "shard", F.col("rank").alias("slot"))
+    return rows.join(slots, KEY).select(*docs.columns, *MADE)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> None:

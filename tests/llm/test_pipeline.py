@@ -86,3 +86,22 @@ def test_repeated_rows_and_null_ids_stay_once_and_keep_their_rows(spark):
     assert {(r.doc_id, r.text, r.source) for r in out} == {(1, texts[0], "a"), (None, texts[1], "a"), *rows[8:]}
     assert len({(r.shard, r.slot) for r in out}) == len(texts)
     assert all(r["size"] == len(r.text) + 16 and r.text_crc32 == zlib.crc32(r.text.encode()) for r in out)
+
+
+def test_last_stage_shards_by_fractional_ranks(spark):
+    from pyspark.sql import functions as F
+
+    from doclathe.llm import sharding
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    by = {}
+    for r in docs.select("doc_id", "source", F.xxhash64(F.lit(sharding.SEED), F.coalesce("text", F.lit(""))).alias("h"), F.xxhash64(F.lit(sharding.SEED), "doc_id").alias("i")).collect():
+        by.setdefault(r.source, []).append((r.h, r.i, r.doc_id))
+    order = sorted(((2 * k + 1) / (2 * len(v)), s, x[2]) for s, v in by.items() for k, x in enumerate(sorted(v)))
+    want = {d: p * 40 // len(order) for p, (_, _, d) in enumerate(order)}
+    out = corpus_pipeline.assign_shards(spark, docs, SF).collect()
+    assert {r.doc_id: r.shard for r in out} == want == {r.doc_id: r.shard for r in sharding.assign(docs).collect()}
+    place = {r.doc_id: i for i, r in enumerate(docs.collect())}
+    for k in range(40):
+        inside = sorted((r.slot, place[r.doc_id]) for r in out if r.shard == k)
+        assert [s for s, _ in inside] == list(range(len(inside))) and [p for _, p in inside] == sorted(p for _, p in inside)
