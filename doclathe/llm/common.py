@@ -53,13 +53,24 @@ def _own_dir(app_id: str) -> str:
     return "file://" + tempfile.mkdtemp(prefix="doclathe-scratch-")
 
 
-def scratch(df: DataFrame) -> DataFrame:
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def scratch(df: DataFrame, free: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage, and outlives lost executors.
 
-    The table is removed when the driver's Python ends."""
+    The table is removed when the driver's Python ends.  With ``free`` the shuffle files of this write go as soon as
+    the table is written, not when the driver's JVM next collects garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/doclathe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_FREE) if free else None
+    try:
+        if free:
+            spark.conf.set(_FREE, "true")
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.set(_FREE, before)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

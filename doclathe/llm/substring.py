@@ -124,8 +124,10 @@ def _removals(rows: DataFrame) -> DataFrame:
     # The order of (doc_id, row, start) puts null ids first, as min() of a struct does.  A cut line and its first
     # piece start together, but never have one digest.
     groups = found.groupBy("high", "low").agg(F.min(F.struct("doc_id", "row", "start")).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    dups = scratch(groups.select("high", "low", F.col("kept.row").alias("kept_row"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start")))
+    dups = scratch(groups.select("high", "low", F.col("kept.row").alias("kept_row"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start")), free=True)
     again = found.join(dups, ["high", "low"]).filter("row <> kept_row or start <> kept_start")
+    # Dealt out once for all three windows.
+    again = again.repartition("row")
     # Adjacent pieces have one difference between their number and their rank among the row's repeats.
     pieces = Window.partitionBy("row", F.col("piece") >= 0).orderBy("piece")
     again = again.withColumn("run", F.col("piece") - F.row_number().over(pieces))

@@ -133,3 +133,26 @@ def test_cases(spark):
     assert [t for d, t in texts if d == 3] == [""] and [t for d, t in texts if d == 2] == ["   \r\nother\n"] and [t for d, t in texts if d == 9] == ["", docs[7][1]]
     assert sorted(r.text for r in substring.deduplicated(df).collect() if r.doc_id is None) == ["", line]
     assert substring.removals(df.limit(0)).collect() == []
+
+
+def test_finished_shuffles_are_freed_and_repeats_dealt_once(spark):
+    """No shuffle file of the grouping is left once its result is written, and the windows share one shuffle."""
+    import time
+
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(found.size()) if (n := found.apply(i).getName()).startswith("shuffle_")}
+
+    docs = spark.createDataFrame([(i, f"the same line of all\nand one of document {i}") for i in range(200)], "doc_id long, text string").repartition(3)
+    docs = substring.scratch(docs, free=True)
+    before = files()
+    found = substring.removals(docs)
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(row#", plan)) == 1
+    assert sorted(r.doc_id for r in found.collect()) == list(range(1, 200))
